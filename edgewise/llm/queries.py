@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import bpe, mixing, quality, simhash
 
 QUERIES = {
     "op3_source_mixing": mixing.op3,
+    "op5_quality_ranking": quality.op5,
     "op7_simhash_pivots": simhash.op7,
+    "op8_bpe_prefixes": bpe.op8,
 }
 
 ORACLE_SQL = {
