@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, embeddings, mixing, ordermin, ppm, quality, simhash, substring
 
 QUERIES = {
     "op3_source_mixing": mixing.op3,
+    "op4_grid_order": embeddings.op4,
     "op5_quality_ranking": quality.op5,
+    "op6_substring_log": substring.op6,
     "op7_simhash_pivots": simhash.op7,
     "op8_bpe_prefixes": bpe.op8,
+    "op9_ppm": ppm.op9,
+    "op10_order_minhash": ordermin.op10,
 }
 
 ORACLE_SQL = {
