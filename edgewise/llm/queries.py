@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, mixing, ordermin, ppm, quality, simhash, substring
+from . import bpe, embeddings, html, mixing, ordermin, pii, ppm, quality, simhash, substring
 
 QUERIES = {
+    "op1_nearest_url": html.op1,
+    "op2_surrogates": pii.op2,
     "op3_source_mixing": mixing.op3,
     "op4_grid_order": embeddings.op4,
     "op5_quality_ranking": quality.op5,
