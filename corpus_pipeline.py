@@ -3,13 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from edgewise.llm import bpe, mixing, pii, quality, simhash
+from edgewise.llm.common import cut
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def hide_people(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get surrogates; n_chars follows the text."""
+    out = pii.replace_pii(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that sources come to their targets."""
+    return mixing.mix_sources(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy of every document that is left, as token ids (their number and their hash)."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_one_of_each),
+    ("PII surrogates", hide_people),
+    ("mixing to target weights", mix),
+    ("BPE encoding", encode),
+]
+
+#: Scores, fingerprints and merges are beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, f"stage{i}")
     return docs
