@@ -60,6 +60,11 @@ def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), (byte % len(alphabet) + 1).cast("int"), F.lit(1))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often use asks for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit for digits that lack it."""
     n = F.length(digits)
@@ -76,7 +81,11 @@ def surrogate(kind: Column, entity: Column, norm: Column, attempt: Column, key:
     domain; letters stay in their case and script; names keep their title and its gender.
     """
     inner = F.sha2(F.concat(F.lit(f"{key}|"), kind, F.lit("|"), norm, F.lit("|"), attempt.cast("string")).cast("binary"), 512)
-    stream = F.sha2(F.concat(F.lit(f"{key}#"), inner).cast("binary"), 512)
+    return _let(F.sha2(F.concat(F.lit(f"{key}#"), inner).cast("binary"), 512), lambda stream: _drawn(kind, entity, norm, stream))
+
+
+def _drawn(kind: Column, entity: Column, norm: Column, stream: Column) -> Column:
+    """The replacement that the hash in stream (hex) stands for."""
     byte = lambda i: F.conv(F.substring(stream, ((i % 64) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     letter = lambda c, b: (
         F.when(c.rlike("[0-9]"), _pick(_DIGITS, b))
@@ -87,27 +96,32 @@ def surrogate(kind: Column, entity: Column, norm: Column, attempt: Column, key:
     )
 
     def spelled(text: Column, one) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: one(F.substring(text, i, F.lit(1)), i)), "")
+        """text with one(character, its place, text) for each character."""
+        return _let(text, lambda t: F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: one(F.substring(t, i, F.lit(1)), i, t)), ""))
 
     def digits(text: Column, first: Column, drawn: Column) -> Column:
         """text with its digits from the first-th on taken from drawn."""
-        nth = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"\D", ""))
-        return spelled(text, lambda c, i: F.when(c.rlike(r"\d") & (nth(i) > first), F.substring(drawn, nth(i), F.lit(1))).otherwise(c))
+        nth = lambda t, i: F.length(F.regexp_replace(F.substring(t, F.lit(1), i), r"\D", ""))
+        put = lambda d, after: spelled(text, lambda c, i, t: F.when(c.rlike(r"\d") & (nth(t, i) > after), F.substring(d, nth(t, i), F.lit(1))).otherwise(c))
+        return _let(drawn, lambda d: _let(first, lambda after: put(d, after)))
 
-    drawn = spelled(norm, lambda c, i: F.when(c.rlike("[0-9]"), _pick(_DIGITS, byte(i))).otherwise(c))
+    drawn = spelled(norm, lambda c, i, t: F.when(c.rlike("[0-9]"), _pick(_DIGITS, byte(i))).otherwise(c))
     country = F.length(F.regexp_replace(F.regexp_extract(entity, r"^\+(\d{1,3})[ .-]", 1), r"\D", ""))
-    body = F.concat(F.substring(norm, 1, 1), F.substring(drawn, F.lit(2), F.length(norm) - 2))
     sound = _luhn(F.substring(norm, F.lit(1), F.length(norm) - 1)) == F.substring(norm, -1, 1)
-    card = F.concat(body, F.when(sound, _luhn(body)).otherwise(F.substring(drawn, -1, 1)))
+
+    def card(d: Column) -> Column:
+        body = F.concat(F.substring(norm, 1, 1), F.substring(d, F.lit(2), F.length(norm) - 2))
+        return _let(body, lambda b: F.concat(b, F.when(sound, _luhn(b)).otherwise(F.substring(d, -1, 1))))
+
     octet = lambda i: (byte(F.lit(2 * i)) * 256 + byte(F.lit(2 * i + 1))) % 254 + 1
     ip = F.concat_ws(".", *[octet(i).cast("string") for i in range(4)])
     top = F.regexp_extract(entity, r"(\.\p{L}+)$", 1)
-    email = F.concat(spelled(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), lambda c, i: letter(c, byte(i))), top)
+    email = F.concat(spelled(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), lambda c, i, t: letter(c, byte(i))), top)
     head = F.regexp_extract(entity, "^(AKIA)?", 1)
     tail = F.substring(entity, F.length(head) + 1, F.length(entity))
-    hexed = tail.rlike(r"\A[0-9a-f]+\z")
-    secret = F.concat(head, spelled(tail, lambda c, i: F.when(hexed, _pick(_HEX, byte(i))).otherwise(letter(c, byte(i)))))
-    iban = F.concat(F.substring(entity, 1, 2), spelled(F.substring(entity, F.lit(3), F.length(entity)), lambda c, i: letter(c, byte(F.length(F.regexp_replace(F.substring(F.substring(entity, F.lit(3), F.length(entity)), F.lit(1), i), " ", ""))))))
+    hidden = lambda hexed: spelled(tail, lambda c, i, t: F.when(hexed, _pick(_HEX, byte(i))).otherwise(letter(c, byte(i))))
+    secret = F.concat(head, _let(tail.rlike(r"\A[0-9a-f]+\z"), hidden))
+    iban = F.concat(F.substring(entity, 1, 2), spelled(F.substring(entity, F.lit(3), F.length(entity)), lambda c, i, t: letter(c, byte(F.length(F.regexp_replace(F.substring(t, F.lit(1), i), " ", ""))))))
     title, rest = F.regexp_extract(entity, r"^(\S+ )", 1), F.regexp_extract(entity, r"^\S+ (.*)$", 1)
     male, cyrillic = entity.rlike(rf"^(?:{_MALE})\b"), rest.rlike(r"\p{IsCyrillic}")
     made = lambda table, at, n: F.initcap(F.concat(*[F.array(*map(F.lit, table))[byte(F.lit(at + i)) % len(table)] for i in range(n)]))
@@ -115,7 +129,7 @@ def surrogate(kind: Column, entity: Column, norm: Column, attempt: Column, key:
     last = F.when(cyrillic, F.concat(made(_SYLLABLES_CYRILLIC, 8, 3), F.when(male, "в").otherwise("ва"))).otherwise(F.concat(made(_SYLLABLES, 8, 3), F.lit("r")))
     name = F.concat(title, F.when(rest.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
     return (
-        F.when(kind == "email", email).when(kind == "phone", digits(entity, country, drawn)).when(kind == "card", digits(entity, F.lit(0), card))
+        F.when(kind == "email", email).when(kind == "phone", digits(entity, country, drawn)).when(kind == "card", digits(entity, F.lit(0), _let(drawn, card)))
         .when(kind == "ssn", digits(entity, F.lit(0), drawn)).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
     )
 
@@ -129,7 +143,7 @@ def attempts(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataF
     now = cut(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "entities")
     for _ in range(rounds):
         kind, norm = F.col("kind"), F.col("norm")
-        drawn = cut(now.withColumn("s", normal(kind, surrogate(kind, norm, norm, F.col("attempt"), key))), "surrogates")
+        drawn = cut(now.withColumn("s", _let(surrogate(kind, norm, norm, F.col("attempt"), key), lambda s: normal(kind, s))), "surrogates")
         first = drawn.groupBy("kind", "s").agg(F.min("norm").alias("owner"), F.count("*").alias("n")).where("n > 1").select("kind", "s", "owner")
         taken = drawn.join(first, ["kind", "s"]).where("norm != owner").select("kind", "norm")
         real = drawn.join(now.select("kind", F.col("norm").alias("s")), ["kind", "s"], "left_semi").select("kind", "norm")
