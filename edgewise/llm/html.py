@@ -10,6 +10,7 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,10 +139,11 @@ def main_text(page_lines: list[tuple[str, int]], hashes: list[int], nearest: lis
 
 
 class _Page:
-    def __init__(self, page_id, url, host, path, texts, roles, hashes):
+    def __init__(self, page_id, url, host, path, packed, roles, hashes):
         self.page_id, self.url, self.host, self.path = page_id, url, host or "", path or ""
-        self.lines = list(zip(texts or [], roles or []))
-        self.hashes = hashes or []
+        self.packed, self.roles = packed, roles
+        self.lines = list(zip(_unpack(packed, len(roles)), roles))
+        self.hashes = hashes
 
     def nearness(self, host: str | None, path: str | None) -> int:
         """Characters of the path that the other page has in common; -1 on another host."""
@@ -157,7 +159,7 @@ class _Page:
         return self.host, self.path, self.hashes
 
 
-_LINES = "page_id long, url string, host string, path string, texts array<string>, roles array<int>, hashes array<long>"
+_LINES = "page_id long, url string, host string, path string, packed binary, roles array<int>, hashes array<long>"
 _TEXT = "page_id long, url string, text string, n_chars long"
 _OUTLINE = "host string, path string, hashes array<long>"
 
@@ -168,21 +170,30 @@ def _candidates(page_lines: list[tuple[str, int]]) -> list[str | None]:
     return [x if (role == CONTENT if content else role != CHROME) else None for x, role in page_lines]
 
 
+def _pack(texts: list[str | None]) -> bytes:
+    """Lines hold no line feed and aren't empty, so an empty one stands for None."""
+    return zstandard.ZstdCompressor().compress("\n".join(x or "" for x in texts).encode())
+
+
+def _unpack(packed: bytes, n: int) -> list[str | None]:
+    return [x or None for x in zstandard.ZstdDecompressor().decompress(packed).decode().split("\n")] if n else []
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             found = [lines(x or "") for x in part.column(4).to_pylist()]
-            texts = pa.array([_candidates(f) for f in found], pa.list_(pa.string()))
+            packed = pa.array([_pack(_candidates(f)) for f in found], pa.binary())
             roles = pa.array([[r for _, r in f] for f in found], pa.list_(pa.int32()))
             hashes = pa.array([[xxhash.xxh3_64_intdigest(x) >> 1 for x, _ in f] for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], texts, roles, hashes], names=_columns())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], packed, roles, hashes], names=_columns())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     outline = pa.struct([("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), outline, outline, outline]
-    names = ["page_id", "url", "text", "n_chars", "part", "first", "last", "texts", "roles", "own", "before", "after"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), outline, outline, outline]
+    names = ["page_id", "url", "text", "n_chars", "part", "first", "last", "packed", "roles", "own", "before", "after"]
     packed = lambda x: dict(zip(("host", "path", "hashes"), x)) if isinstance(x, tuple) else x
     return pa.RecordBatch.from_arrays([pa.array([packed(r[i]) for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
@@ -195,7 +206,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = at == 1, after is None
         edges = before.outline() if before else None, after.outline() if after else None
         if first or last:
-            return page.page_id, page.url, None, None, part, first, last, [x for x, _ in page.lines], [r for _, r in page.lines], page.outline(), *edges
+            return page.page_id, page.url, None, None, part, first, last, page.packed, page.roles, page.outline(), *edges
         return *page.finished(*edges), part, False, False, *[None] * 5
 
     for batch in batches:
@@ -216,8 +227,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for page_id, url, texts, roles, own, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-            page = _Page(page_id, url, own["host"], own["path"], texts, roles, own["hashes"])
+        for page_id, url, packed, roles, own, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+            page = _Page(page_id, url, own["host"], own["path"], packed, roles, own["hashes"])
             rows.append(page.finished(*(tuple(x.values()) if x else None for x in (before, after))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
@@ -232,7 +243,7 @@ def extract(pages: DataFrame) -> DataFrame:
     inside an article or main element: a paragraph that two articles quote is text of both. Lines that the markup (tag,
     role, class, id) shows to be menus, forms, adverts, comments and so on are deleted too.
 
-    Only lines that may stay are shuffled as text; of the others the 64-bit hash, by which lines are aligned, is enough.
+    Only lines that may stay are shuffled as (compressed) text; of the others the 64-bit hash, by which lines are aligned, is enough.
     The pages at the ends of a part are finished afterwards, joined with the ends of the parts beside theirs; the parts
     that aren't empty are listed on the driver, one number a part. Null html is empty and gives an empty text; null urls
     share the empty host and path, as do urls without a host. Repeated rows each meet the other. An empty table gives an empty table.
@@ -244,7 +255,7 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host, path, "html").mapInArrow(_parse, _LINES)
     order = ["host", "path", "page_id", "url"]
     ranged = parsed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "hashes")
-    edge = f"part int, first boolean, last boolean, texts array<string>, roles array<int>, own struct<{_OUTLINE.replace(' ', ':').replace(',:', ',')}>"
+    edge = f"part int, first boolean, last boolean, packed binary, roles array<int>, own struct<{_OUTLINE.replace(' ', ':').replace(',:', ',')}>"
     edge += "".join(f", {n} struct<{_OUTLINE.replace(' ', ':').replace(',:', ',')}>" for n in ("before", "after"))
     walked = cut(ranged.select(F.spark_partition_id().alias("part"), *_columns()).mapInArrow(_walk, f"{_TEXT}, {edge}"), "pages", "zstd")
     done = walked.where("not first and not last").select("page_id", "url", "text", "n_chars")
@@ -258,11 +269,11 @@ def extract(pages: DataFrame) -> DataFrame:
     ends = ends.join(beside, "part").join(lasts, "prev", "left").join(firsts, "next", "left")
     before = F.when(F.col("first"), F.col("over")).otherwise(F.col("before")).alias("before")
     after = F.when(F.col("last"), F.col("under")).otherwise(F.col("after")).alias("after")
-    return done.unionByName(ends.select("page_id", "url", "texts", "roles", "own", before, after).mapInArrow(_finish, _TEXT))
+    return done.unionByName(ends.select("page_id", "url", "packed", "roles", "own", before, after).mapInArrow(_finish, _TEXT))
 
 
 def _columns() -> list[str]:
-    return ["page_id", "url", "host", "path", "texts", "roles", "hashes"]
+    return ["page_id", "url", "host", "path", "packed", "roles", "hashes"]
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
