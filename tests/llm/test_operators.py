@@ -188,6 +188,31 @@ def test_ppm_probabilities_sum_to_one():
     assert sum(10 ** trie.scores([w], np.zeros(1))[0] for w in first) <= 1 + 1e-9
 
 
+def test_ppm_dropped_nodes_count_as_escaped():
+    seen = [b"ab", b"ac", b"ad", b""]
+    nodes = Counter()
+    for _, key, of, _ in ppm._contexts(seen):
+        for k, w in zip(key.tolist(), np.array([8, 1, 1, 4])[of].tolist()):
+            nodes[k] += w
+    kept = {k: c for k, c in nodes.items() if c > 1}
+    trie = ppm.Trie(np.array(list(kept), np.int64), np.array(list(kept.values())))
+    level = trie.levels[2]
+    at = list(level["context"] & 0xFFFF).index(0x2061)  # the space and a: seen 10 times, b 8 of them
+    assert 0.2 <= level["escape"][at] < 0.3
+
+
+def test_ppm_learns_languages_apart(spark):
+    """Held-out texts score above the unigram base; the language of a held-out text is not asked."""
+    rng = np.random.default_rng(3)
+    vocabulary = {g: ["".join(rng.choice(list(letters), 6)) for _ in range(60)] for g, letters in (("a", "abcdef"), ("b", "ghijkl"), ("c", "mnopqr"))}
+    rows = [(i, " ".join(rng.choice(vocabulary["abc"[i % 3]], 40)), "abc"[i % 3], 0) for i in range(150)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    told = spark.createDataFrame(rows, "doc_id long, text string, lang string, grp int")
+    untold = spark.createDataFrame([(d, t, None if held(d) else g, 0) for d, t, g, _ in rows], told.schema)
+    scores = [{r.doc_id: round(r.score, 4) for r in ppm.score_documents(x).collect() if r.score > r.base_score} for x in (told, untold)]
+    assert scores[0] == scores[1] and sum(map(held, scores[0])) == sum(held(i) for i in range(150)) > 10
+
+
 def test_order_minhash(docs, none):
     ordered = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
     got = {}
