@@ -52,6 +52,11 @@ def crc_mod(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def row_key(columns: list[str]):
+    """A key of the row: rows have the same if and only if they agree in these columns."""
+    return F.md5(F.to_json(F.struct(*columns)).cast("binary"))
+
+
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes, so that Arrow hands it to Python without decoding; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

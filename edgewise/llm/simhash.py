@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_forest, mix, partitions, text_bytes
+from .common import components, cut, local_forest, mix, partitions, row_key, text_bytes
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -42,12 +42,13 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([simhash(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long. A null text is empty; repeated rows stay."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, fp), and the text column key if there is one: fp is the fingerprint's 64 bits as a long. A null text is empty; repeated rows stay."""
+    more = [key] if key else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *more).mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", {c} string" for c in more))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -146,9 +147,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group of near duplicates: the one with the smallest doc_id stays (null ids: one). Columns stay as they are."""
-    keep = near_duplicates(docs).select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without all but one row of each group of near duplicates. Columns stay as they are.
+
+    The row with the smallest doc_id stays (null ids come last; of rows with the same id, that with the smallest key of all
+    its columns). Rows are told apart by that key, not by doc_id, so null or repeated ids cost no text of another group.
+    """
+    keyed = docs.withColumn("_row", row_key(docs.columns))
+    fps = cut(fingerprints(keyed, "_row"), "fingerprints")
+    linked = fps.join(cut(clusters(fps), "clusters"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    keep = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x")).select("x._row")
+    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,13 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_tells_rows_apart_without_ids(spark):
+    rows = [(None, t, str(i)) for i, t in enumerate(BASE[:4])] + [(None, BASE[0], "x"), (7, BASE[4], "a"), (7, BASE[5], "b"), (8, BASE[5], "c"), (9, BASE[6], "d"), (9, BASE[6], "d")]
+    got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
+    assert sorted((t for _, t, _ in got), key=BASE.index) == BASE[:7]
+    assert {r for r in got if r[1] in BASE[4:7]} == {(7, BASE[4], "a"), (7, BASE[5], "b"), (9, BASE[6], "d")}
+
+
 def test_simhash_buckets_find_all_near_pairs():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -288,6 +295,15 @@ def test_quality(spark, none):
     assert quality.score(quality.featurize(none), labels.where("quality = 9")).count() == 0
 
 
+def test_quality_tells_rows_apart_without_ids(spark):
+    good = [(i, " ".join(rng.choices(WORDS, k=80)) + ".") for i in range(150)]
+    bad = [(i, " | ".join(rng.choices(WORDS, k=80))) for i in range(150, 200)]
+    df = spark.createDataFrame([*good, *bad, (None, bad[0][1]), (None, good[0][1]), (3, bad[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good if i != 3] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    kept = {tuple(r) for r in quality.drop_low_quality(df, labels).collect()}
+    assert {(None, good[0][1]), good[3]} <= kept and not {(None, bad[0][1]), (3, bad[1][1])} & kept
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
