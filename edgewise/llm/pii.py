@@ -11,11 +11,13 @@ from .common import cut
 
 #: The key of the surrogates; whoever doesn't know it can't tell which entity a surrogate stands for. Replace it in production.
 KEY = "edgewise"
-#: Rounds after which a collision that is still there is an error.
-ROUNDS = 20
+#: Attempts after which the space that surrogates are drawn from grows with each attempt.
+NARROW = 2
 
 _MALE = "Mr|Mister|Herr|Monsieur|Señor|Господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа"
+#: A capitalised word of a name, with hyphens and apostrophes inside it; a possessive 's is not part of it.
+_PART = r"\p{Lu}(?:[\p{L}\p{M}]|[-‐‑](?=\p{L})|['’](?=\p{L})(?!s(?![\p{L}\p{M}])))+"
 #: What is looked for, in this order where two begin at the same place. Java patterns.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -25,10 +27,11 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![0-9A-Za-z])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![0-9A-Za-z-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_PART}(?: {_PART})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+_SYMBOLS = "*+-_.!$%/:;=?@^~"
 _LOWER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -39,23 +42,31 @@ _SYLLABLES_CYRILLIC = "ба бе бо да де до га ка ко ла ле л
 
 def kind_of(entity: Column) -> Column:
     """The first pattern that the whole of it matches, without regard to what stood around it."""
-    bare = {"secret": r"AKIA[0-9A-Z]{16}|[0-9a-f]{32,}", "phone": r"\+\d.*|\(\d{3}\).*|\d{3}-\d{3}-\d{4}", "ssn": r"\d{3}-\d{2}-\d{4}", "card": r"\d(?:[ -]?\d){12,18}", "email": r".*@.*"}
+    bare = {"secret": r"AKIA[0-9A-Z]{16}|[0-9a-f]{32,}", "phone": r"\+\d.*|\(\d{3}\).*|\d{3}-\d{3}-\d{4}", "ssn": r"\d{3}-\d{2}-\d{4}", "card": r"\d(?:[ -]?\d){12,18}", "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"}
     bare |= {"iban": r"[A-Z]{2}\d{2}[ A-Z0-9]+", "ip": r"\d+\.\d+\.\d+\.\d+", "name": rf"(?:{_MALE}|{_FEMALE})\.? .*"}
     cases = [F.when(entity.rlike(rf"\A(?:{bare[k]})\z"), F.lit(k)) for k in ("email", "iban", "ip", "phone", "ssn", "card", "name")]
     return F.coalesce(F.when(entity.rlike(rf"\A(?:{bare['secret']})\z"), F.lit("secret")), *cases, F.lit("secret"))
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    """What mentions of the same entity have in common: digits of numbers, the address in small letters, a name without its title's full stop."""
+    """What mentions of the same entity have in common: digits of numbers, the address in small letters. Names have parts."""
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", ""))
         .when(kind == "email", F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind == "name", F.regexp_replace(entity, r"\. ", " "))
         .otherwise(entity)
     )
 
 
+def parts(kind: Column, entity: Column) -> Column:
+    """(kind, norm) of what surrogates are drawn for: of a name its surname and, if it is there, its first name; else the entity itself."""
+    rest = F.regexp_extract(entity, r"^\S+ (.*)$", 1)
+    part = lambda k, x: F.struct(k.alias("kind"), x.alias("norm"))
+    surname = F.array(part(F.lit("surname"), F.regexp_extract(rest, r"(\S+)$", 1)))
+    first = F.array(part(F.lit("first"), F.regexp_extract(rest, r"^(\S+) ", 1)))
+    return F.when(kind != "name", F.array(part(kind, normal(kind, entity)))).when(rest.contains(" "), F.concat(first, surname)).otherwise(surname)
+
+
 def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), (byte % len(alphabet) + 1).cast("int"), F.lit(1))
 
@@ -78,14 +89,18 @@ def surrogate(kind: Column, entity: Column, norm: Column, attempt: Column, key:
 
     Mentions with the same norm get the same digits and letters, each in its own format. Numbers keep their separators,
     cards their first digit and a right check digit if they had one, phones their country code; addresses keep their top-level
-    domain; letters stay in their case and script; names keep their title and its gender.
+    domain; letters stay in their case and script; symbols of secrets become other symbols. A part of a name is made up from
+    that part alone; entity is the whole name, whose title tells the gender of the end (without a title: male).
+
+    From attempt NARROW on the space grows with each attempt: names get more syllables, addresses and secrets more letters,
+    phones more digits.
     """
     inner = F.sha2(F.concat(F.lit(f"{key}|"), kind, F.lit("|"), norm, F.lit("|"), attempt.cast("string")).cast("binary"), 512)
-    return _let(F.sha2(F.concat(F.lit(f"{key}#"), inner).cast("binary"), 512), lambda stream: _drawn(kind, entity, norm, stream))
+    return _let(F.sha2(F.concat(F.lit(f"{key}#"), inner).cast("binary"), 512), lambda stream: _drawn(kind, entity, norm, stream, F.greatest(attempt - (NARROW - 1), F.lit(0))))
 
 
-def _drawn(kind: Column, entity: Column, norm: Column, stream: Column) -> Column:
-    """The replacement that the hash in stream (hex) stands for."""
+def _drawn(kind: Column, entity: Column, norm: Column, stream: Column, extra: Column) -> Column:
+    """The replacement that the hash in stream (hex) stands for, longer by extra letters, digits or syllables where its kind allows."""
     byte = lambda i: F.conv(F.substring(stream, ((i % 64) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     letter = lambda c, b: (
         F.when(c.rlike("[0-9]"), _pick(_DIGITS, b))
@@ -95,6 +110,9 @@ def _drawn(kind: Column, entity: Column, norm: Column, stream: Column) -> Column
         .otherwise(c)
     )
 
+    symbol = lambda c, b: F.when(c.rlike(r"[0-9\p{L}]"), letter(c, b)).otherwise(_pick(_SYMBOLS, b))
+    grown = lambda one: F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: one(byte(24 + i))), "")).otherwise("")
+
     def spelled(text: Column, one) -> Column:
         """text with one(character, its place, text) for each character."""
         return _let(text, lambda t: F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: one(F.substring(t, i, F.lit(1)), i, t)), ""))
@@ -116,43 +134,44 @@ def _drawn(kind: Column, entity: Column, norm: Column, stream: Column) -> Column
     octet = lambda i: (byte(F.lit(2 * i)) * 256 + byte(F.lit(2 * i + 1))) % 254 + 1
     ip = F.concat_ws(".", *[octet(i).cast("string") for i in range(4)])
     top = F.regexp_extract(entity, r"(\.\p{L}+)$", 1)
-    email = F.concat(spelled(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), lambda c, i, t: letter(c, byte(i))), top)
+    email = F.concat(grown(lambda b: _pick(_LOWER, b)), spelled(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), lambda c, i, t: letter(c, byte(i))), top)
     head = F.regexp_extract(entity, "^(AKIA)?", 1)
     tail = F.substring(entity, F.length(head) + 1, F.length(entity))
-    hidden = lambda hexed: spelled(tail, lambda c, i, t: F.when(hexed, _pick(_HEX, byte(i))).otherwise(letter(c, byte(i))))
-    secret = F.concat(head, _let(tail.rlike(r"\A[0-9a-f]+\z"), hidden))
+    hidden = lambda hexed: spelled(tail, lambda c, i, t: F.when(hexed, _pick(_HEX, byte(i))).otherwise(symbol(c, byte(i))))
+    secret = F.concat(head, _let(tail.rlike(r"\A[0-9a-f]+\z"), hidden), grown(lambda b: _pick(_HEX, b)))
     iban = F.concat(F.substring(entity, 1, 2), spelled(F.substring(entity, F.lit(3), F.length(entity)), lambda c, i, t: letter(c, byte(F.length(F.regexp_replace(F.substring(t, F.lit(1), i), " ", ""))))))
-    title, rest = F.regexp_extract(entity, r"^(\S+ )", 1), F.regexp_extract(entity, r"^\S+ (.*)$", 1)
-    male, cyrillic = entity.rlike(rf"^(?:{_MALE})\b"), rest.rlike(r"\p{IsCyrillic}")
-    made = lambda table, at, n: F.initcap(F.concat(*[F.array(*map(F.lit, table))[byte(F.lit(at + i)) % len(table)] for i in range(n)]))
+    male, cyrillic = ~entity.rlike(rf"^(?:{_FEMALE})\.? "), norm.rlike(r"\p{IsCyrillic}")
+    syllable = lambda table, b: F.array(*map(F.lit, table))[b % len(table)]
+    made = lambda table, at, n: F.initcap(F.concat(*[syllable(table, byte(F.lit(at + i))) for i in range(n)], grown(lambda b: syllable(table, b))))
     first = F.when(cyrillic, F.concat(made(_SYLLABLES_CYRILLIC, 0, 3), F.when(male, "н").otherwise("на"))).otherwise(F.concat(made(_SYLLABLES, 0, 3), F.when(male, "n").otherwise("na")))
     last = F.when(cyrillic, F.concat(made(_SYLLABLES_CYRILLIC, 8, 3), F.when(male, "в").otherwise("ва"))).otherwise(F.concat(made(_SYLLABLES, 8, 3), F.lit("r")))
-    name = F.concat(title, F.when(rest.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
     return (
-        F.when(kind == "email", email).when(kind == "phone", digits(entity, country, drawn)).when(kind == "card", digits(entity, F.lit(0), _let(drawn, card)))
-        .when(kind == "ssn", digits(entity, F.lit(0), drawn)).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
+        F.when(kind == "email", email).when(kind == "phone", F.concat(digits(entity, country, drawn), grown(lambda b: _pick(_DIGITS, b)))).when(kind == "card", digits(entity, F.lit(0), _let(drawn, card)))
+        .when(kind == "ssn", digits(entity, F.lit(0), drawn)).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "first", first).when(kind == "surname", last).otherwise(secret)
     )
 
 
-def attempts(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, attempt) for entities (kind, norm): with these attempts no two surrogates of a kind are alike, and none is an entity of the data.
 
     All start at 0. Of those whose surrogates collide the first by norm stays and the others draw again, as do those whose
-    surrogate is itself an entity, until none is left; raises after `rounds`.
+    surrogate is itself an entity, until none is left. That ends: the space of names, addresses, secrets and phones grows
+    with the attempts, and that of the other kinds is larger than the number of entities a table can hold (SSNs: 10^9).
     """
     now = cut(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(rounds):
+    while True:
         kind, norm = F.col("kind"), F.col("norm")
         drawn = cut(now.withColumn("s", _let(surrogate(kind, norm, norm, F.col("attempt"), key), lambda s: normal(kind, s))), "surrogates")
         first = drawn.groupBy("kind", "s").agg(F.min("norm").alias("owner"), F.count("*").alias("n")).where("n > 1").select("kind", "s", "owner")
         taken = drawn.join(first, ["kind", "s"]).where("norm != owner").select("kind", "norm")
-        real = drawn.join(now.select("kind", F.col("norm").alias("s")), ["kind", "s"], "left_semi").select("kind", "norm")
+        # A made-up part of a name has one more letter behind a female title.
+        known = now.select("kind", F.explode(F.when(kind.isin("first", "surname"), F.array(norm, F.regexp_replace(norm, "[aа]$", ""))).otherwise(F.array(norm))).alias("s"))
+        real = drawn.join(known, ["kind", "s"], "left_semi").select("kind", "norm")
         again = cut(taken.unionByName(real).distinct(), "again")
         if again.isEmpty():
             return now
         now = now.join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
         now = cut(now, "entities")
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -171,9 +190,12 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     row = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
     found = docs.where(may).select(row.alias("row"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("entity"))
     found = found.withColumn("kind", kind_of(F.col("entity")))
-    found = cut(found.withColumn("norm", normal(F.col("kind"), F.col("entity"))), "mentions")
+    found = cut(found.select("row", "entity", F.posexplode(parts(F.col("kind"), F.col("entity"))).alias("at", "part")).select("row", "entity", "at", "part.*"), "mentions")
     tries = attempts(found, key)
-    mapped = found.join(tries, ["kind", "norm"]).select("row", "entity", surrogate(F.col("kind"), F.col("entity"), F.col("norm"), F.col("attempt"), key).alias("s"))
+    mapped = found.join(tries, ["kind", "norm"]).select("row", "entity", "at", "kind", surrogate(F.col("kind"), F.col("entity"), F.col("norm"), F.col("attempt"), key).alias("s"))
+    title = F.when(F.first("kind").isin("first", "surname"), F.regexp_extract("entity", r"^(\S+ )", 1)).otherwise("")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "s"))), lambda x: x["s"]), " ")
+    mapped = mapped.groupBy("row", "entity").agg(F.concat(title, whole).alias("s"))
     maps = mapped.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "s"))).alias("_map")).withColumnRenamed("row", "_row")
     dirty = docs.where(may).withColumn("_row", row).join(maps, "_row")
     gaps, names = F.split("text", ANY, -1), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))

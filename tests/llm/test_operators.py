@@ -261,6 +261,25 @@ def test_pii_collisions_draw_again(spark):
     assert s.where("s < '0300'").count() == 0
 
 
+def test_pii_names_in_parts_and_masked_secrets(spark):
+    texts = ["password=******** or password=@@@@@@ or password=!!!!!!!!", "Mr. Jean-Luc Picard, Mr. O'Brien and Mr. John Smith.", "Mr. Smith's and Mrs Smith"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_pii(df).collect()}
+    assert [out[i].n_entities for i in range(3)] == [3, 3, 2]
+    assert not any(x in out[0].text for x in ("****", "@@@@", "!!!!"))
+    assert not any(x in out[1].text for x in ("Jean", "Luc", "Picard", "Brien", "'", "John", "Smith"))
+    surname = out[1].text.split()[-1][:-1]
+    assert out[2].text == f"Mr. {surname}'s and Mrs {surname}"
+
+
+def test_pii_space_grows_until_collisions_end(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(40000).selectExpr("'surname' AS kind", "concat('X', id) AS norm")
+    got = pii.attempts(many).select(pii.surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt")).alias("s"))
+    assert got.count() == 40000 == got.distinct().count()
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav>{0}<div class='cookie-notice'>ok?</div><footer>&copy; x</footer></body></html>"
     art = "<article><h1>A &amp; B</h1><p>one\n two<br>three<p><b>four</p><div class='comments'>me</div><script>'</p>'</script></article>"
