@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import U64, cut, mix, partitions, seeds, text_bytes
 
 #: Code points of a k-mer, sketches of a fingerprint, and k-mers of a sketch.
-K, SKETCHES, TUPLE = 6, 24, 2
+K, SKETCHES, TUPLE = 6, 100, 2
 _KMER = U64(int(seeds(1, 301)[0]))
 _DRAWS = seeds(SKETCHES, 401)
 _SHIFTS = mix(seeds(SKETCHES, 501))
