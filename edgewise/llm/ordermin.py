@@ -17,7 +17,7 @@ K, SKETCHES, TUPLE = 6, 100, 2
 _KMER = U64(int(seeds(1, 301)[0]))
 _DRAWS = seeds(SKETCHES, 401)
 _SHIFTS = mix(seeds(SKETCHES, 501))
-_STEP = 1 << 13
+_STEP = 1 << 10
 EMPTY = b"\0" * (4 * SKETCHES)
 
 
