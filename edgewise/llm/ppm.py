@@ -4,399 +4,411 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_mod, cut, mix, partitions, seeds, text_bytes
+from .common import U64, crc_mod, cut, partitions, text_bytes
 
-#: Longest context of the shared trie, in bytes. Contexts begin at the white space before a token; longer ones reach back to it.
+#: Longest context, in bytes of the running text. A (context, byte) is one key: the byte before in the highest place, the byte itself in the lowest.
 ORDER = 5
-#: A node stays in the trie if its count is at least 1 / MOST_NODES of the bytes learned from, so an order has at most so many.
-MOST_NODES = 1 << 21
-#: Languages that get a trie of their own (those with the most documents to learn from); the others share one.
-MOST_GROUPS = 5
+#: Bytes of text that are looked at together, and of those that are sorted together.
+BLOCK, PIECE = 1 << 24, 1 << 20
+#: Slices of the trie for a corpus of up to SLICED bytes; beyond, their number grows with the root of its size.
+SLICES, SLICED = 64, 1 << 32
 _CLASSES = 1024
-_CHUNK = 100_000  # words that are looked at together
-_BASE = int(seeds(1, 201)[0])
+_MERGED = 1 << 22  # keys that a slice holds before it adds up what is alike
 END = b""  # the end of a text, which no word equals
+_START = b"\n" * ORDER
 
 
-def _power(n: int, inverse: bool = False) -> np.ndarray:
-    out = np.full(n, U64(pow(_BASE, -1, 1 << 64) if inverse else _BASE))
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def spelled(words: list[bytes]) -> bytes:
+    """What the model predicts of a text: each word and a space, then a line feed."""
+    return b" ".join([*words, b"\n"])
 
 
-def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the words, each closed by a space (the end of a text is a line feed); which word each belongs to; how many bytes of context it has."""
-    spelled = [w + b" " if w else b"\n" for w in words]
-    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    symbols = np.frombuffer(b"".join(spelled), np.uint8)
-    of = np.repeat(np.arange(len(words)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    return symbols, of, np.arange(len(symbols)) - starts[of] + 1  # the space before the token counts
+def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The spelled texts in lots of about PIECE bytes: of which text each chunk is, and its bytes behind the ORDER bytes before them."""
+    owners, chunks, size = [], [], 0
+    for i, text in enumerate(texts):
+        whole = _START + text
+        for lo in range(0, len(text), PIECE):
+            chunk = whole[lo : lo + PIECE + ORDER]
+            owners.append(i)
+            chunks.append(chunk)
+            size += len(chunk)
+            if size >= PIECE:
+                yield owners, chunks
+                owners, chunks, size = [], [], 0
+    if owners:
+        yield owners, chunks
+
+
+def _keys(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key at each byte of the chunks (without those before them), and where each chunk's start."""
+    symbols = np.frombuffer(b"".join(chunks), np.uint8).astype(np.uint64)
+    key = symbols[ORDER:].copy()
+    for back in range(1, ORDER + 1):
+        key |= symbols[ORDER - back : len(symbols) - back] << U64(8 * (ORDER - back + 1))
+    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    own = np.ones(len(key), bool)
+    joints = np.cumsum(lengths)[:-1]  # the first ORDER bytes of each later chunk are no predictions
+    own[(joints[:, None] - ORDER + np.arange(ORDER)).ravel()] = False
+    return key[own], np.cumsum(lengths - ORDER) - (lengths - ORDER)
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, each with the sum of its counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Eight- or four-byte numbers, byte place by byte place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes())
+
+
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U64(0)))
+
+
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def _slice_of_grams(keys: np.ndarray, slices: int) -> np.ndarray:
+    """All contexts that end in the same two bytes share a slice."""
+    last = keys >> U64(8 * (ORDER - 1))
+    return ((last * U64(0x9E3779B97F4A7C15)) >> U64(40)).astype(np.int64) % slices
+
+
+def _slice_of_words(keys: np.ndarray, slices: int) -> np.ndarray:
+    return slices + ((keys >> U64(20)) % U64(slices)).astype(np.int64)
+
+
+def _sliced(keys: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Slices and the places of their keys, which stay sorted."""
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(of) else []
+    for part in np.split(order, first[1:]):
+        if len(part):
+            yield int(of[part[0]]), part
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+_LEDGER = "block long, slice int, keys binary, counts binary"
+
+
+def _ledger(slices: int):
+    """Of each block of texts: the texts themselves (slice -1), and for each slice its keys and how often each was learned (0 in held-out texts only)."""
+
+    def rows(block: int, ids: list, held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+        split = [t.lower().split() for t in texts]
+        learned: Counter = Counter()
+        others: set[bytes] = {END}
+        for words, out in zip(split, held):
+            if out:
+                others.update(words)
+            else:
+                learned.update(words)
+                learned[END] += 1
+        others.difference_update(learned)
+        words = [*learned, *others]
+        parts = []
+        for is_held in (False, True):
+            for _, chunks in _chunks([spelled(w) for w, h in zip(split, held) if h == is_held]):
+                key, n = np.unique(_keys(chunks)[0], return_counts=True)
+                parts.append((key, n * (not is_held)))
+        of_words = _merge([(_hashed(words), np.r_[np.fromiter(learned.values(), np.int64, len(learned)), np.zeros(len(others), np.int64)])])
+        meta = np.array([[i or 0, i is None, h, len(t)] for i, h, t in zip(ids, held, texts)], np.int64)
+        out = [(-1, zstandard.ZstdCompressor().compress(b"".join(texts)), _pack(meta.ravel()))]
+        for (keys, n), dealt in ((_merge(parts), _slice_of_grams), (of_words, _slice_of_words)):
+            out += [(s, _pack_sorted(keys[at]), _pack(n[at])) for s, at in _sliced(keys, dealt(keys, slices))]
+        columns = [pa.array([block] * len(out), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary())))]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "slice", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, kept = TaskContext.get().partitionId() << 32, 0, ([], [], [])
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for into, x in zip(kept, row):
+                    into.append(x)
+                size += len(row[2])
+                if size >= BLOCK:
+                    yield rows(block, *kept)
+                    block, size, kept = block + 1, 0, ([], [], [])
+        if kept[0]:
+            yield rows(block, *kept)
 
+    return run
 
-def _contexts(words: list[bytes], order: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 0: keys of (context, byte), the words they belong to, and where they stand."""
-    symbols, of, depth = _spelled(words)
-    key = symbols.astype(np.int64)
-    at = np.arange(len(symbols))
-    for k in range(order + 1):
-        if k:
-            keep = depth[at] >= k
-            at, key = at[keep], key[keep]
-            first = depth[at] == k
-            before = np.where(first, 0x20, symbols[at - k])
-            key = key | before.astype(np.int64) << 8 * k
-        yield k, key | np.int64(k) << 56, of[at], at
 
+@dataclass
+class Level:
+    """Contexts of one length: the (context, byte) keys seen and their counts; of each context the sum of its counts and how many different bytes it has."""
 
-def _class(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """The class of contexts seen n times with so many different bytes: exact for small numbers, by powers of two beyond."""
-    coarse = lambda x, exact: (np.minimum(x, exact) + np.log2(np.maximum(x, exact) / exact)).astype(int)
-    return np.minimum(coarse(n, 8) * 16 + np.minimum(coarse(kinds, 4), 15), _CLASSES - 1)
+    gram: np.ndarray
+    c: np.ndarray
+    context: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    kinds: np.ndarray
 
+    @classmethod
+    def of(cls, gram: np.ndarray, c: np.ndarray) -> Level:
+        context, start, kinds = np.unique(gram >> U64(8), return_index=True, return_counts=True)
+        return cls(gram, c, context, start, np.add.reduceat(c, start) if len(c) else c, kinds)
 
-def _left_out(n: np.ndarray, kinds: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each class, how many of the bytes seen would have been known, and how many new, had each been left out of its context's counts.
+    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of contexts one byte shorter. A byte counts once for each longer context that it was new in (update exclusion)."""
+        return np.unique(_shorter(self.gram), return_counts=True)
 
-    One number a (context, byte) with its count c: that context's n and kinds.
-    """
-    many = c > 1
-    known = np.bincount(_class(n[many] - 1, kinds[many]), c[many], minlength=_CLASSES)
-    once = (c == 1) & (n > 1)
-    return known, np.bincount(_class(n[once] - 1, kinds[once] - 1), minlength=_CLASSES).astype(np.float64)
+    def left_out(self) -> np.ndarray:
+        """For each class of contexts, how many of the bytes seen would have been known, and how many new, had each been left out of its context's counts."""
+        of = np.repeat(np.arange(len(self.context)), self.kinds)
+        n, kinds, many = self.n[of], self.kinds[of], self.c > 1
+        known = np.bincount(_class(n[many] - 1, kinds[many]), self.c[many], minlength=_CLASSES)
+        once = ~many & (n > 1)
+        return np.array([known, np.bincount(_class(n[once] - 1, kinds[once] - 1), minlength=_CLASSES)], np.float64)
+
+    def escapes(self, sums: np.ndarray) -> np.ndarray:
+        """The share of new bytes in each context's class; where a class was hardly seen it comes near kinds / (n + kinds)."""
+        known, new = sums[:, _class(self.n, self.kinds)]
+        return np.clip((new + self.kinds / np.maximum(self.n + self.kinds, 1)) / (known + new + 1), 1e-6, 0.98)
+
+    def left(self, below: Level) -> np.ndarray:
+        """Of each context, what the bytes it knows leave of the counts of the context one byte shorter."""
+        at = np.searchsorted(below.gram, _shorter(self.gram))
+        up = np.searchsorted(below.context, self.context >> U64(8))
+        return below.n[up] - np.add.reduceat(below.c[at], self.start)
+
+
+def _shorter(gram: np.ndarray) -> np.ndarray:
+    return gram >> U64(16) << U64(8) | gram & U64(255)
 
 
-def _escapes(sums: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """The share of new bytes in each context's class; where a class was hardly seen it comes near kinds / (n + kinds)."""
-    known, new = np.asarray(sums)[:, _class(n, kinds)]
-    return np.clip((new + kinds / np.maximum(n + kinds, 1)) / (known + new + 1), 1e-6, 0.98)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts compressed, as they are shuffled twice."""
-    squeeze = zstandard.ZstdCompressor().compress
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array([squeeze(t) for t in batch.column(at).to_pylist()], pa.binary()))
+def _class(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The class of contexts seen n times with so many different bytes: exact for small numbers, by powers of two beyond."""
+    coarse = lambda x, exact: (np.minimum(x, exact) + np.log2(np.maximum(x, exact) / exact)).astype(int)
+    return np.minimum(coarse(n, 8) * 16 + np.minimum(coarse(kinds, 4), 15), _CLASSES - 1)
 
 
-def _texts(table: pa.Table) -> Iterator[bytes]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    return (open_(t) for t in table["text"].to_pylist())
+def levels(gram: np.ndarray, c: np.ndarray, longest: int = ORDER, shortest: int = 0) -> dict[int, Level]:
+    """Levels from the counts of the longest contexts."""
+    out = {}
+    for k in range(longest, shortest - 1, -1):
+        out[k] = Level.of(gram, c)
+        if k:
+            gram, c = out[k].shorter()
+    return out
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """Of one bucket of documents: its words, and how often each stands in those that are learned from, for each group."""
-    learned: dict[int, Counter] = {}
-    others: set[bytes] = {END}
-    for held, group, text in zip(table["held_out"].to_pylist(), table["grp"].to_pylist(), _texts(table)):
-        words = text.lower().split()  # of bytes: ASCII only
-        if held:
-            others.update(words)
-        else:
-            counts = learned.setdefault(group, Counter())
-            counts.update(words)
-            counts[END] += 1
-    others.difference_update(*learned.values())
-    learned[-1] = Counter(dict.fromkeys(others, 0))
-    bucket = table["bucket"][0].as_py()
-    groups = [g for g, counts in learned.items() for _ in counts]
-    words = [w for counts in learned.values() for w in counts]
-    numbers = [c for counts in learned.values() for c in counts.values()]
-    arrays = [pa.array([bucket] * len(words), pa.int32()), pa.array(groups, pa.int32()), pa.array(words, pa.binary()), pa.array(numbers, pa.int64())]
-    return pa.table(arrays, names=["bucket", "grp", "word", "c"])
-
-
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, byte) of each order for each group, from words and how often each group has them."""
-    words: list[bytes] = []
-    counts: list[np.ndarray] = []
-
-    def made() -> Iterator[pa.RecordBatch]:
-        every = np.concatenate(counts)
-        for group in range(every.shape[1]):
-            mine = np.flatnonzero(every[:, group])
-            if not len(mine):
-                continue
-            for _, key, of, _ in _contexts([words[i] for i in mine]):
-                order = np.argsort(key)
-                key, own = key[order], every[mine[of[order]], group]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), group, np.int32)), pa.array(key[first]), pa.array(np.add.reduceat(own, first))], names=["grp", "node", "c"])
-
-    for batch in batches:
-        if batch.num_rows:
-            words += batch.column(0).to_pylist()
-            counts.append(_matrix(batch.column(1)))
-        if len(words) >= _CHUNK:
-            yield from made()
-            words.clear()
-            counts.clear()
-    if words:
-        yield from made()
-
-
-def _matrix(lists) -> np.ndarray:
-    """A column of lists of the same length as rows."""
-    return lists.flatten().to_numpy().reshape(len(lists), -1)
-
-
-def _whole(words: list[bytes], counts: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, ...]:
-    """Contexts longer than order, each all of a token so far: the positions that have one, which context and which
-    (context, byte) each has, where each of the latter stands first (among the former), its count, and of each context the
-    count and the number of different bytes seen. All words that share a context must be there."""
-    symbols, of, depth = _spelled(words)
-    spread = symbols.astype(np.uint64) * _power(len(symbols))
-    sums = np.r_[U64(0), np.cumsum(spread)]
-    start = np.arange(len(symbols)) - depth + 1
-    back = _power(len(symbols) + 1, inverse=True)[start]
-    deep = np.flatnonzero(depth > order)
-    prefix = mix((sums[deep] - sums[start[deep]]) * back[deep] + depth[deep].astype(np.uint64))
-    entry = mix((sums[deep + 1] - sums[start[deep]]) * back[deep] + depth[deep].astype(np.uint64))
-    _, pre = np.unique(prefix, return_inverse=True)
-    _, first, ent = np.unique(entry, return_index=True, return_inverse=True)
-    if not len(deep):
-        return deep, pre, ent, first, np.zeros(0), np.zeros(0), np.zeros(0, int)
-    weight = counts[of[deep]]
-    c, n = np.bincount(ent, weight, minlength=len(first)), np.bincount(pre, weight)
-    return deep, pre, ent, first, c, n, np.bincount(pre[first[c > 0]], minlength=len(n))
-
-
-def _by_head(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, pa.Table]]:
-    """Words, their counts by group and their rows, some thousand at a time, from batches (head, word, cs, ...) sorted by head; a head's words come together."""
-    kept = [b for b in batches if b.num_rows]
-    if not kept:
-        return
-    table = pa.Table.from_batches(kept)
-    heads, words, counts = table["head"].to_numpy(), table["word"].to_pylist(), _matrix(table["cs"].combine_chunks())
-    at = 0
-    while at < len(words):
-        to = np.searchsorted(heads, heads[min(len(words), at + _CHUNK) - 1], side="right")
-        yield words[at:to], counts[at:to], table.slice(at, to - at)
-        at = to
-
-
-def _deep_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp, cls, known, new) of contexts longer than ORDER, as _left_out has them."""
-    sums: dict[int, np.ndarray] = {}
-    for words, counts, _ in _by_head(batches):
-        for group in range(counts.shape[1]):
-            mine = np.flatnonzero(counts[:, group])
-            _, pre, _, first, c, n, kinds = _whole([words[i] for i in mine], counts[mine, group])
-            if len(c):
-                of = pre[first]
-                sums[group] = sums.get(group, 0) + np.array(_left_out(n[of], kinds[of], c))
-    for group, (known, new) in sums.items():
-        cls = np.flatnonzero(known + new)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), group, np.int32)), pa.array(cls.astype(np.int32)), pa.array(known[cls]), pa.array(new[cls])], names=["grp", "cls", "known", "new"])
-
-
-class Trie:
-    """PPM over a trie of byte contexts, as arrays.
+def log_probabilities(trie: dict[int, Level], sums: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """log10 probability of each key's byte after its context.
 
     A byte that a context has seen c of n times gets (1 - e) c / n there; otherwise the escape e is paid and the next
     shorter context is asked, without the bytes that the longer one knows (symbol exclusion). e is estimated for each
-    class of contexts (order, n, number of different bytes) by leaving each byte seen out of the counts once: the share
-    of bytes that would then have been new. What the trie dropped of a context for its rareness counts as escaped. A
-    context that was never seen costs nothing. Below order 0 all other bytes are equally likely.
-
-    deep: of contexts longer than order, the bytes known and new in each class.
+    class of contexts (length, n, number of different bytes) by leaving each byte seen out of the counts once. A context
+    that was never seen, or that has no byte left, costs nothing. Below length 0 all other bytes are equally likely.
     """
-
-    def __init__(self, node: np.ndarray, count: np.ndarray, order: int = ORDER, deep: np.ndarray | None = None):
-        by = np.argsort(node)
-        node, count = node[by], count[by].astype(np.float64)
-        self.order, self.levels, self.deep = order, [], np.zeros((2, _CLASSES)) if deep is None else deep
-        for k in range(order + 1):
-            lo, hi = np.searchsorted(node, [np.int64(k) << 56, np.int64(k + 1) << 56])
-            key, c = node[lo:hi], count[lo:hi]
-            context, start, kinds = np.unique(key >> 8, return_index=True, return_counts=True)
-            n = np.add.reduceat(c, start) if len(c) else np.zeros(0)
-            of = np.repeat(np.arange(len(context)), kinds)
-            escape = _escapes(_left_out(n[of], kinds[of], c), n, kinds)
-            left = np.zeros(len(context))
-            if k:
-                escape = 1 - (1 - escape) * n / np.maximum(n, self._seen(k, context))
-                shorter = self.levels[-1]
-                mask = (np.int64(1) << 8 * k) - 1
-                at = self._find(shorter["key"], key & mask | np.int64(k - 1) << 56)
-                up = shorter["of"][at[start]] if len(start) else np.zeros(0, int)
-                left = shorter["n"][up] - np.add.reduceat(shorter["c"][at], start) if len(start) else left
-            self.levels.append({"key": key, "c": c, "of": of, "context": context, "n": n, "escape": escape, "left": left, "kinds": kinds})
-
-    def _seen(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        """How often each context of k bytes was seen, with the bytes after it that the trie dropped: the count of its own last byte."""
-        below = self.levels[k - 1]
-        at = self._find(below["key"], contexts & (np.int64(1) << 8 * k) - 1 | np.int64(k - 1) << 56)
-        seen = np.where(at >= 0, below["c"][at], 0.0) if len(below["c"]) else np.zeros(len(contexts))
-        if k == 1:  # the space before a token is no byte of a token: as many as ends of tokens
-            ends = below["c"][np.isin(below["key"], [0x20, 0x0A])].sum()
-            seen = np.where(contexts & 0xFF == 0x20, ends, seen)
-        return seen
-
-    @staticmethod
-    def _find(inorder: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Where each is, or -1."""
-        if not len(inorder):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(inorder, wanted), len(inorder) - 1)
-        return np.where(inorder[at] == wanted, at, -1)
-
-    def _deepest(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each position: its count after all of its token so far, that context's count, its different bytes, and what
-        they leave of the count of the context of ORDER bytes. All words that share a context must be there.
-
-        Positions with up to ORDER bytes of context get a count of 0: the shared trie has them.
-        """
-        symbols, _, depth = _spelled(words)
-        deep, pre, ent, first, c, n, kinds = _whole(words, counts, self.order)
-        seen = first[c > 0]
-        level = self.levels[self.order]
-        _, key, _, at = list(_contexts(words, self.order))[-1]
-        key = key[np.searchsorted(at, deep)]
-        hit = self._find(level["key"], key)
-        below = np.where(hit >= 0, level["c"][hit], 0.0) if len(level["c"]) else np.zeros(len(deep))
-        context = self._find(level["context"], key >> 8)
-        total = np.where(context >= 0, level["n"][context], 0.0) if len(level["n"]) else np.zeros(len(deep))
-        known = np.bincount(pre[seen], below[seen], minlength=len(n)) if len(deep) else np.zeros(0)
-        out = np.zeros((4, len(symbols)))
-        out[:, deep] = c[ent], n[pre], kinds[pre], np.maximum(0.0, total - known[pre])
-        return out
-
-    def scores(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each word with its closing space, or of the end of a text.
-
-        counts: how often each was learned. Words that agree in their first ORDER bytes must be scored together, as the
-        contexts longer than ORDER, which only they share, are counted here.
-        """
-        ways = list(_contexts(words, self.order))
-        of = ways[0][2]
-        out = np.zeros(len(of))
-        above = np.full(len(of), -1)  # the context that has just been escaped from
-        open_ = np.ones(len(of), bool)
-        c, n, kinds, left = self._deepest(words, counts)
-        deep = n > 0
-        escape = _escapes(self.deep, n[deep], kinds[deep])
-        out[deep] = np.where(c[deep] > 0, np.log10(np.maximum(c[deep], 1) * (1 - escape) / n[deep]), np.log10(escape))
-        open_[deep & (c > 0)] = False
-        above[deep & (c == 0)] = 0
-        for k, key, _, at in reversed(ways):
-            level = self.levels[k]
-            pick = open_[at]
-            key, at = key[pick], at[pick]
-            hit = self._find(level["key"], key)
-            context = np.where(hit >= 0, level["of"][hit] if len(level["of"]) else -1, -1)
-            miss = np.flatnonzero(hit < 0)
-            context[miss] = self._find(level["context"], key[miss] >> 8)
-            come = above[at]
-            there = context >= 0
-            over = left[at] if k == self.order else self.levels[k + 1]["left"][come] if len(self.levels[k + 1]["left"]) else 0.0
-            room = np.where(come >= 0, over, level["n"][context] if len(level["n"]) else 0.0)
-            usable = there & (room > 0)
-            escape = level["escape"][context] if len(level["escape"]) else np.full(len(context), 0.5)
-            good = usable & (hit >= 0)
-            out[at[good]] += np.log10((1 - escape[good]) * level["c"][hit[good]] / room[good])
-            open_[at[good]] = False
-            bad = usable & (hit < 0)
-            out[at[bad]] += np.log10(escape[bad])
-            above[at] = np.where(there, context, -1)
-        seen = self.levels[0]["kinds"][0] if len(self.levels[0]["kinds"]) else 0
-        out[open_] -= np.log10(np.maximum(1.0, 256 - seen))
-        return np.bincount(of, out, minlength=len(words))
-
-
-def _score_documents(docs: pa.Table, words: pa.Table, prior: np.ndarray, total: int, distinct: int) -> pa.Table:
-    place = {w: i for i, w in enumerate(words["word"].to_pylist())}
-    c, lp = words["c"].to_numpy(), _matrix(words["lp"].combine_chunks()).astype(np.float64)
-    base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-    out = ([], [], [], [], [], [])
-    for doc_id, held, text in zip(docs["doc_id"].to_pylist(), docs["held_out"].to_pylist(), _texts(docs)):
-        tokens = text.lower().split()
-        tokens.append(END)
-        at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-        each = prior + lp[at].sum(axis=0)
-        most = each.max()
-        score = most + np.log10((10 ** (each - most)).sum())
-        for into, x in zip(out, (doc_id, held, len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(score))):
-            into.append(x)
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-
-def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, most_nodes: int = MOST_NODES, most_groups: int = MOST_GROUPS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of docs.
+    out = np.zeros(len(keys))
+    at = np.arange(len(keys))
+    over = np.full(len(keys), -1.0)  # what the bytes excluded so far leave of the level's count; -1: none was excluded
+    for k in range(ORDER, -1, -1):
+        level = trie[k]
+        if not len(level.gram):
+            continue
+        gram = keys[at] >> U64(8 * (ORDER - k + 1)) << U64(8) | keys[at] & U64(255)
+        context, there = _find(level.context, gram >> U64(8))
+        hit, known = _find(level.gram, gram)
+        room = np.where(over[at] >= 0, over[at], level.n[context])
+        usable = there & (room > 0)
+        escape = level.escapes(sums[k])[context]
+        good = usable & known
+        out[at[good]] += np.log10((1 - escape[good]) * level.c[hit[good]] / room[good])
+        bad = usable & ~known
+        out[at[bad]] += np.log10(escape[bad])
+        if k and len(trie[k - 1].gram):
+            over[at] = np.where(there, level.left(trie[k - 1])[context], -1.0)
+        at = at[~good]
+    out[at] -= np.log10(256 - len(trie[0].gram))
+    return out
+
+
+def _find(inorder: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each is (or would be), and whether it is there."""
+    at = np.minimum(np.searchsorted(inorder, wanted), len(inorder) - 1)
+    return at, inorder[at] == wanted
+
+
+def _gathered(slices: int):
+    """Rows (slice, keys, counts) sorted by slice: one row a slice with all its keys, their counts added up, and what the whole model needs of it."""
+
+    def row(of: int, parts: list) -> tuple:
+        keys, counts = _merge(parts)
+        seen = counts > 0
+        if of >= slices:
+            stats = np.array([counts.sum(), seen.sum()], np.float64)
+        else:
+            own = levels(keys[seen], counts[seen], ORDER, 2)
+            gram, c = own[2].shorter()
+            stats = np.concatenate([*(own[k].left_out().ravel() for k in range(2, ORDER + 1)), gram.astype(np.float64), c])
+        return of, _pack_sorted(keys), _pack(counts), _pack(stats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda r: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["slice", "keys", "counts", "stats"])
+        at, parts, size = None, [], 0
+        for batch in batches:
+            for of, keys, counts in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2))):
+                if of != at:
+                    if parts:
+                        yield made(row(at, parts))
+                    at, parts, size = of, [], 0
+                parts.append((_unpack_sorted(keys.as_py()), _unpack(counts.as_py(), np.int64)))
+                size += len(parts[-1][0])
+                if size > 2 * _MERGED + 2 * len(parts[0][0]):  # what was merged before comes first
+                    parts = [_merge(parts)]
+                    size = len(parts[0][0])
+        if parts:
+            yield made(row(at, parts))
+
+    return run
+
+
+def _model(stats: list[tuple[int, bytes]], slices: int) -> tuple[dict[int, Level], np.ndarray, int, int]:
+    """Levels 1 and 0, the escapes' sums for all levels, and the unigram model's totals, from what the slices have gathered."""
+    sums = np.zeros((ORDER + 1, 2, _CLASSES))
+    pairs = np.zeros(1 << 16)
+    total = distinct = 0
+    wide = (ORDER - 1) * 2 * _CLASSES
+    for of, packed in stats:
+        x = _unpack(packed, np.float64)
+        if of >= slices:
+            total, distinct = total + int(x[0]), distinct + int(x[1])
+        else:
+            sums[2:] += x[:wide].reshape(ORDER - 1, 2, _CLASSES)
+            gram, c = x[wide:].reshape(2, -1)
+            pairs[gram.astype(np.int64)] += c
+    gram = np.flatnonzero(pairs)
+    low = levels(gram.astype(np.uint64), pairs[gram].astype(np.int64), 1, 0)
+    for k in (0, 1):
+        sums[k] = low[k].left_out()
+    return low, sums, total, distinct
+
+
+def _answers(slices: int, shared):
+    """Rows (slice, block, keys, counts) sorted by slice, the gathered one (block null) first: each block's keys with the log10 probabilities of grams and the counts of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = known = values = None
+        for batch in batches:
+            out = []
+            for s, block, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                keys = _unpack_sorted(keys)
+                if block is None:
+                    of, known, values = s, keys, _unpack(counts, np.int64)
+                    if s < slices:
+                        low, sums = shared.value
+                        values = log_probabilities(levels(keys[values > 0], values[values > 0], ORDER, 2) | low, sums, keys).astype(np.float32)
+                    continue
+                if s != of:
+                    raise RuntimeError(f"slice {s} comes before its counts")
+                out.append((block, s, _pack_sorted(keys), _pack(values[np.searchsorted(known, keys)])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "slice", "keys", "counts"])
+
+    return run
+
+
+def _lookup(rows: list[tuple[bytes, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values, from the rows of several slices."""
+    keys = np.concatenate([_unpack_sorted(k) for k, _ in rows])
+    values = np.concatenate([_unpack(v, kind) for _, v in rows])
+    by = np.argsort(keys)
+    return keys[by], values[by]
+
+
+def _score(docs: pa.Table, answers: pa.Table, slices: int, total: int, distinct: int) -> pa.Table:
+    """The scores of one block's texts."""
+    meta = _unpack(docs["counts"][0].as_py(), np.int64).reshape(-1, 4)
+    ends = np.cumsum(meta[:, 3])
+    joined = zstandard.ZstdDecompressor().decompress(docs["keys"][0].as_py())
+    split = [joined[e - n : e].lower().split() for e, n in zip(ends.tolist(), meta[:, 3].tolist())]
+    rows = list(zip(answers["slice"].to_pylist(), answers["keys"].to_pylist(), answers["counts"].to_pylist()))
+    keys, lp = _lookup([(k, v) for s, k, v in rows if s < slices], np.float32)
+    score = np.zeros(len(split))
+    for owners, chunks in _chunks([spelled(w) for w in split]):
+        key, starts = _keys(chunks)
+        one, which = np.unique(key, return_inverse=True)
+        each = lp[np.searchsorted(keys, one)].astype(np.float64)[which]
+        np.add.at(score, owners, np.add.reduceat(each, starts))
+    keys, counts = _lookup([(k, v) for s, k, v in rows if s >= slices], np.int64)
+    words = list({END}.union(*split))
+    count = dict(zip(words, counts[np.searchsorted(keys, _hashed(words))].tolist()))
+    n_tokens, n_known, base = [], [], []
+    for tokens in split:
+        c = np.fromiter(map(count.__getitem__, [*tokens, END]), np.int64, len(tokens) + 1)
+        n_tokens.append(len(c))
+        n_known.append(int((c > 0).sum()))
+        base.append(float(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))).sum()))
+    ids = pa.array(meta[:, 0], mask=meta[:, 1].astype(bool))
+    return pa.table([ids, pa.array(meta[:, 2].astype(bool)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of docs; other columns aren't read.
 
     held_out: crc32(doc_id as text) mod folds is fold (null ids are learned from); the others train both models. Tokens
     are lower-cased (A-Z) words and one end of text. base_score is the unigram model with 0.5 added to every count; score
-    is the PPM code length of the same tokens, each spelled out and closed by a space, turned into log10 probability.
-
-    If docs has a column lang, the documents learned from are told apart by it: the most_groups languages with the most of
-    them and the rest each train a trie, and a text's probability is the mean of the tries' probabilities, weighted by their
-    shares of documents. The language of a text that is scored isn't asked. Without the column there is one trie.
-
-    Documents are dealt out in buckets by hash. Each bucket gives its distinct words once; a word is counted with the list of
-    its buckets (of which there are a fixed number), and its probabilities go back to them, so no task holds more than its
-    bucket's words. Only the
-    trie of contexts up to ORDER bytes is broadcast: at most most_nodes nodes for each order, 20 bytes each, whatever the
-    input. Longer contexts, back to the start of the token, are counted where the words with the same first bytes meet.
-
-    A null text is empty: its only token is the end. Without a document to learn from, counts are 0. An empty table gives
-    an empty table.
+    is the PPM code length of the text, each word spelled out with a space and the end as a line feed, turned into log10
+    probability. Contexts are the up to ORDER bytes before in the running text, over the ends of words; a text begins
+    behind line feeds. Every context that occurs in a text learned from is in the trie.
+
+    A byte's probability depends on it and its context alone, so texts are read in blocks of about BLOCK bytes, each of
+    which gives its distinct (context, byte) keys with their counts, packed as one row for each slice of the trie. A slice
+    has all contexts that end in the same two bytes, so all but the two lowest levels are computed within it; those two,
+    at most 2^16 + 2^8 keys, and the sums of the escapes' classes are added up on the driver and broadcast. Slices then
+    answer each block's keys, and a block's texts meet its answers. No task holds more than a slice or a block (a text
+    longer than BLOCK is a block). Words go the same way by their 64-bit hashes, which the base takes as the words.
+
+    A null text is empty: its only token is the end. Without a document to learn from, counts are 0 and all bytes equally
+    likely. Rows with the same id and text get the same scores. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
-    held = crc_mod("doc_id", folds) == fold
-    group, groups = F.lit(0), 1
-    if "lang" in docs.columns:
-        often = docs.where(~held).groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(most_groups).collect()
-        rest = docs.where(~held & (F.col("lang").isNull() | ~F.col("lang").isin([r["lang"] for r in often]))).isEmpty()
-        first = 0 if rest and often else 1  # without others, none of the tries is theirs
-        group, groups = F.coalesce(*[F.when(F.col("lang") == r["lang"], i + first) for i, r in enumerate(often)], group), len(often) + first
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        held.alias("held_out"),
-        group.cast("int").alias("grp"),
-        text_bytes().alias("text"),
-    ).mapInArrow(_pack, "bucket int, doc_id long, held_out boolean, grp int, text binary")
-    pairs = dealt.groupBy("bucket").applyInArrow(lambda t: _count_words(t), "bucket int, grp int, word binary, c long")
-    each = F.array(*[F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("c"))), F.lit(0)) for g in range(groups)])
-    words = cut(pairs.groupBy("word").agg(F.sum("c").alias("c"), each.alias("cs"), F.collect_set("bucket").alias("buckets")), "counts", "zstd")
-    total, distinct, learned = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("c") * (F.length("word") + 1)), F.lit(0))).first()
-    ends = words.where(F.length("word") == 0).select("cs").first()
-    ends = np.array(ends[0] if ends else [0] * groups, float)
-    prior = np.log10((ends + 0.5) / (ends + 0.5).sum())
-    nodes = words.where("c > 0").select("word", "cs").mapInArrow(_nodes, "grp int, node long, c long").groupBy("grp", "node").agg(F.sum("c").alias("c")).where(F.col("c") >= max(1, learned / most_nodes)).toArrow()
-    head = F.xxhash64(F.substring("word", 1, ORDER)).alias("head")
-    headed = lambda *columns: words.select(head, "word", "cs", *columns).repartition(partitions(spark), "head").sortWithinPartitions("head", "word")
-    deep = np.zeros((groups, 2, _CLASSES))
-    for r in headed().where("word != X''").mapInArrow(_deep_classes, "grp int, cls int, known double, new double").groupBy("grp", "cls").agg(F.sum("known"), F.sum("new")).collect():
-        deep[r[0], :, r[1]] = r[2], r[3]  # at most _CLASSES rows a group
-    trie = spark.sparkContext.broadcast((nodes["grp"].to_numpy(), nodes["node"].to_numpy(), nodes["c"].to_numpy(), deep))
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, node, c, deep = trie.value
-        models = None
-        for words, counts, rows in _by_head(batches):
-            models = models or [Trie(node[of == g], c[of == g], deep=deep[g]) for g in range(groups)]
-            lp = np.column_stack([m.scores(words, counts[:, g]) for g, m in enumerate(models)]).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * groups), pa.array(lp.ravel()))
-            yield pa.RecordBatch.from_arrays([rows["buckets"].combine_chunks(), pa.array(words, pa.binary()), pa.array(counts.sum(axis=1)), lists], names=["buckets", "word", "c", "lp"])
-
-    known = headed("buckets").mapInArrow(looked_up, "buckets array<int>, word binary, c long, lp array<float>")
-    given = known.select(F.explode("buckets").alias("bucket"), "word", "c", "lp")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = int(SLICES * max(1, np.ceil(np.sqrt(size / SLICED))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", folds) == fold).alias("held_out"), text_bytes().alias("text"))
+    ledger = cut(rows.mapInArrow(_ledger(slices), _LEDGER), "ledger")
+    dealt = ledger.where("slice >= 0")
+    by_slice = lambda df, *then: df.repartition(partitions(spark), "slice").sortWithinPartitions("slice", *then)
+    gathered = cut(by_slice(dealt.select("slice", "keys", "counts")).mapInArrow(_gathered(slices), "slice int, keys binary, counts binary, stats binary"), "gathered")
+    low, sums, total, distinct = _model([tuple(r) for r in gathered.select("slice", "stats").collect()], slices)
+    shared = spark.sparkContext.broadcast((low, sums))
+    asked = dealt.select("slice", "block", "keys", F.lit(None).cast("binary").alias("counts"))
+    asked = asked.unionByName(gathered.select("slice", F.lit(None).cast("long").alias("block"), "keys", "counts"))
+    answers = by_slice(asked, F.col("block").asc_nulls_first()).select("slice", "block", "keys", "counts").mapInArrow(_answers(slices, shared), _LEDGER)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = dealt.drop("grp").groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(lambda d, w: _score_documents(d, w, prior, total, distinct), schema)
+    texts = ledger.where("slice < 0").select("block", "keys", "counts")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, slices, total, distinct), schema)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

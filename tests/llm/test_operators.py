@@ -181,43 +181,94 @@ def test_ppm(docs, none):
     assert all(r.score < 0 for r in rows) and ppm.score_documents(none).count() == 0
 
 
+def _plain_ppm(learned, asked, order=5):
+    """log10 probabilities of texts, symbol by symbol, from dicts of contexts."""
+    tables = [Counter() for _ in range(order + 1)]
+    for t in learned:
+        t = b"\n" * order + t
+        tables[order].update((t[i - order : i], t[i]) for i in range(order, len(t)))
+    for k in range(order, 0, -1):
+        tables[k - 1].update((c[1:], s) for c, s in tables[k])
+    seen = [{} for _ in tables]
+    for k, table in enumerate(tables):
+        for (c, s), n in table.items():
+            seen[k].setdefault(c, {})[s] = n
+    small = lambda x, exact: x if x <= exact else int(exact + math.log2(x / exact))
+    cls = lambda n, kinds: min(small(n, 8) * 16 + min(small(kinds, 4), 15), 1023)
+    known, new = Counter(), Counter()
+    for k, table in enumerate(tables):
+        for (c, _), n in table.items():
+            total, kinds = sum(seen[k][c].values()), len(seen[k][c])
+            if n > 1:
+                known[k, cls(total - 1, kinds)] += n
+            elif total > 1:
+                new[k, cls(total - 1, kinds - 1)] += 1
+
+    def symbol(context, s):
+        out, gone = 0.0, set()
+        for k in range(order, -1, -1):
+            here = seen[k].get(context[order - k :])
+            if here is None:
+                continue
+            room = sum(n for x, n in here.items() if x not in gone)
+            if room > 0:
+                total, kinds = sum(here.values()), len(here)
+                q = (k, cls(total, kinds))
+                e = min(0.98, max(1e-6, (new[q] + kinds / (total + kinds)) / (known[q] + new[q] + 1)))
+                if s in here:
+                    return out + math.log10((1 - e) * here[s] / room)
+                out += math.log10(e)
+            gone = set(here)
+        return out - math.log10(256 - len(seen[0].get(b"", {})))
+
+    padded = [b"\n" * order + t for t in asked]
+    return [sum(symbol(t[i - order : i], t[i]) for i in range(order, len(t))) for t in padded]
+
+
+def test_ppm_is_plain_ppm(spark, docs):
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    spell = lambda t: b"".join(w + b" " for w in words((t or "").translate({c: c + 32 for c in range(65, 91)}))) + b"\n"
+    want = _plain_ppm([spell(t) for d, t, *_ in ROWS if not held(d)], [spell(t) for _, t, *_ in ROWS])
+    got = ppm.score_documents(docs).collect()
+    assert sorted((str(r.doc_id), round(r.score, 2)) for r in got) == sorted((str(d), round(x, 2)) for (d, *_), x in zip(ROWS, want))
+    alone = ppm.score_documents(docs.where("doc_id = 6")).collect()  # nothing but itself to learn from, or nothing at all
+    assert len(alone) == 2 and len({r.score for r in alone}) == 1
+
+
+def test_ppm_pieces_and_merges_change_nothing(spark, docs, monkeypatch):
+    want = sorted((str(r.doc_id), round(r.score, 2), r.n_known) for r in ppm.score_documents(docs).collect())
+    pieces = list(ppm._chunks([b"abcdef " * 400_000 + b"\n", b"\n"]))
+    keys = [ppm._keys(chunks)[0] for _, chunks in pieces]
+    assert sum(map(len, keys)) == 2_800_002 and len(pieces) > 2
+    whole = ppm._keys([b"\n" * ppm.ORDER + b"abcdef " * 400_000 + b"\n"])[0]
+    assert np.array_equal(np.concatenate(keys)[:-1], whole)
+    monkeypatch.setattr(ppm, "_MERGED", 10)
+    a, b = (np.array(x, np.uint64) for x in ([5, 1, 5], [1]))
+    merged = ppm._merge([(a, np.array([1, 2, 3])), (b, np.array([4]))])
+    assert [x.tolist() for x in merged] == [[1, 5], [6, 4]]
+    assert sorted((str(r.doc_id), round(r.score, 2), r.n_known) for r in ppm.score_documents(docs.repartition(7)).collect()) == want
+
+
 def test_ppm_probabilities_sum_to_one():
-    seen = [b"ab", b"ac", b"abc", b"b", b""]
-    weight = np.array([5, 3, 1, 2, 4])
-    nodes = Counter()
-    for _, key, of, _ in ppm._contexts(seen):
-        for k, w in zip(key.tolist(), weight[of].tolist()):
-            nodes[k] += w
-    trie = ppm.Trie(np.array(list(nodes), np.int64), np.array(list(nodes.values())))
-    first = [bytes([c]) for c in range(256) if c not in b" \t\n\v\f\r"]
-    level = {k: v for k, v in ((w, s) for w, s in zip(first, trie.scores(first, np.zeros(len(first)))))}
-    assert all(np.isfinite(list(level.values()))) and level[b"a"] < 0
-    assert sum(10 ** trie.scores([w], np.zeros(1))[0] for w in first) <= 1 + 1e-9
-
-
-def test_ppm_dropped_nodes_count_as_escaped():
-    seen = [b"ab", b"ac", b"ad", b""]
-    nodes = Counter()
-    for _, key, of, _ in ppm._contexts(seen):
-        for k, w in zip(key.tolist(), np.array([8, 1, 1, 4])[of].tolist()):
-            nodes[k] += w
-    kept = {k: c for k, c in nodes.items() if c > 1}
-    trie = ppm.Trie(np.array(list(kept), np.int64), np.array(list(kept.values())))
-    level = trie.levels[2]
-    at = list(level["context"] & 0xFFFF).index(0x2061)  # the space and a: seen 10 times, b 8 of them
-    assert 0.2 <= level["escape"][at] < 0.3
-
-
-def test_ppm_learns_languages_apart(spark):
-    """Held-out texts score above the unigram base; the language of a held-out text is not asked."""
+    key, n = np.unique(ppm._keys([ppm._START + t for t in (b"ab ac \n", b"abc b \n", b"b \n")])[0], return_counts=True)
+    trie = ppm.levels(key, n)
+    sums = np.stack([trie[k].left_out() for k in range(ppm.ORDER + 1)])
+    for context in (b"\n\n\n\n\n", b"\nab a", b"c b \n", b"zzzzz", b"zzzab"):
+        every = np.concatenate([ppm._keys([context + bytes([s])])[0] for s in range(256)])
+        assert 0.5 < (10 ** ppm.log_probabilities(trie, sums, every)).sum() <= 1 + 1e-9
+
+
+def test_ppm_held_out_texts_score_above_the_base(spark):
+    """In sum over the held-out texts, of three languages; neither language nor any other column is asked."""
     rng = np.random.default_rng(3)
     vocabulary = {g: ["".join(rng.choice(list(letters), 6)) for _ in range(60)] for g, letters in (("a", "abcdef"), ("b", "ghijkl"), ("c", "mnopqr"))}
     rows = [(i, " ".join(rng.choice(vocabulary["abc"[i % 3]], 40)), "abc"[i % 3], 0) for i in range(150)]
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    told = spark.createDataFrame(rows, "doc_id long, text string, lang string, grp int")
+    told = spark.createDataFrame(rows, "doc_id long, text string, lang string, block int")
     untold = spark.createDataFrame([(d, t, None if held(d) else g, 0) for d, t, g, _ in rows], told.schema)
-    scores = [{r.doc_id: round(r.score, 4) for r in ppm.score_documents(x).collect() if r.score > r.base_score} for x in (told, untold)]
-    assert scores[0] == scores[1] and sum(map(held, scores[0])) == sum(held(i) for i in range(150)) > 10
+    scores = [{r.doc_id: (round(r.score, 3), r.base_score) for r in ppm.score_documents(x).collect() if held(r.doc_id)} for x in (told, untold)]
+    assert scores[0] == scores[1] and len(scores[0]) == sum(held(i) for i in range(150)) > 10
+    assert sum(s for s, _ in scores[0].values()) > sum(b for _, b in scores[0].values()) + 3 * len(scores[0])
 
 
 def test_order_minhash(docs, none):
