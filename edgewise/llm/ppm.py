@@ -120,20 +120,20 @@ def _ledger(slices: int):
     """Of each block of texts: the texts themselves (slice -1), and for each slice its keys and how often each was learned (0 in held-out texts only)."""
 
     def rows(block: int, ids: list, held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
-        split = [t.lower().split() for t in texts]
+        plain = [spelled(t.lower().split()) for t in texts]
         learned: Counter = Counter()
         others: set[bytes] = {END}
-        for words, out in zip(split, held):
+        for text, out in zip(plain, held):
             if out:
-                others.update(words)
+                others.update(text.split())
             else:
-                learned.update(words)
+                learned.update(text.split())
                 learned[END] += 1
         others.difference_update(learned)
         words = [*learned, *others]
         parts = []
         for is_held in (False, True):
-            for _, chunks in _chunks([spelled(w) for w, h in zip(split, held) if h == is_held]):
+            for _, chunks in _chunks([t for t, h in zip(plain, held) if h == is_held]):
                 key, n = np.unique(_keys(chunks)[0], return_counts=True)
                 parts.append((key, n * (not is_held)))
         of_words = _merge([(_hashed(words), np.r_[np.fromiter(learned.values(), np.int64, len(learned)), np.zeros(len(others), np.int64)])])
@@ -350,21 +350,26 @@ def _score(docs: pa.Table, answers: pa.Table, slices: int, total: int, distinct:
     meta = _unpack(docs["counts"][0].as_py(), np.int64).reshape(-1, 4)
     ends = np.cumsum(meta[:, 3])
     joined = zstandard.ZstdDecompressor().decompress(docs["keys"][0].as_py())
-    split = [joined[e - n : e].lower().split() for e, n in zip(ends.tolist(), meta[:, 3].tolist())]
+    plain = [spelled(joined[e - n : e].lower().split()) for e, n in zip(ends.tolist(), meta[:, 3].tolist())]
+    del joined
     rows = list(zip(answers["slice"].to_pylist(), answers["keys"].to_pylist(), answers["counts"].to_pylist()))
     keys, lp = _lookup([(k, v) for s, k, v in rows if s < slices], np.float32)
-    score = np.zeros(len(split))
-    for owners, chunks in _chunks([spelled(w) for w in split]):
+    score = np.zeros(len(plain))
+    for owners, chunks in _chunks(plain):
         key, starts = _keys(chunks)
         one, which = np.unique(key, return_inverse=True)
         each = lp[np.searchsorted(keys, one)].astype(np.float64)[which]
         np.add.at(score, owners, np.add.reduceat(each, starts))
     keys, counts = _lookup([(k, v) for s, k, v in rows if s >= slices], np.int64)
-    words = list({END}.union(*split))
+    words = {END}
+    for text in plain:
+        words.update(text.split())
+    words = list(words)
     count = dict(zip(words, counts[np.searchsorted(keys, _hashed(words))].tolist()))
     n_tokens, n_known, base = [], [], []
-    for tokens in split:
-        c = np.fromiter(map(count.__getitem__, [*tokens, END]), np.int64, len(tokens) + 1)
+    for text in plain:
+        tokens = [*text.split(), END]
+        c = np.fromiter(map(count.__getitem__, tokens), np.int64, len(tokens))
         n_tokens.append(len(c))
         n_known.append(int((c > 0).sum()))
         base.append(float(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))).sum()))
