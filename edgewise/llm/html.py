@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
+from math import isqrt
 from os.path import commonprefix
 
 import numpy as np
@@ -33,6 +35,8 @@ _NOT_ARTICLE = set(
     "form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related "
     "replies reply responses search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+#: So many of the nearest pages of a host are looked for within REACH pages before and after; CERTAIN of them must agree on a line of an article.
+NEAREST, REACH, CERTAIN = 4, 8, 3
 #: What markup says of a line.
 CONTENT, OPEN, CHROME = 0, 1, 2
 
@@ -104,64 +108,104 @@ def lines(page: str) -> list[tuple[str, int]]:
 
 
 def in_common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b, by bit vectors over a (one addition a line of b)."""
+    """Positions in a of a longest common subsequence of a and b, by bit vectors over a (one addition a line of b).
+
+    Lines that the other list lacks are left out first. Of the vectors every root-th is kept and those between are made
+    again on the way back, so memory grows with the power 1.5 of the lines, not with their square.
+    """
     lo = len(commonprefix([a, b]))
     hi = len(commonprefix([a[lo:][::-1], b[lo:][::-1]]))
-    mid, other = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    others, mine = set(b[lo : len(b) - hi]), set(a[lo : len(a) - hi])
+    at = [i for i in range(lo, len(a) - hi) if a[i] in others]
+    other = [x for x in b[lo : len(b) - hi] if x in mine]
     where: dict[int, int] = {}
-    for i, x in enumerate(mid):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(mid)) - 1
-    rows, row = [], full
-    for x in other:
-        hit = row & where.get(x, 0)
-        row = (row + hit | row - hit) & full
-        rows.append(row)
-    found, i, j = [], len(mid), len(other)
+    for i, place in enumerate(at):
+        where[a[place]] = where.get(a[place], 0) | 1 << i
+    full = (1 << len(at)) - 1
+
+    def after(row: int, x: int) -> int:
+        hit = row & where[x]
+        return (row + hit | row - hit) & full
+
+    step = isqrt(len(other)) + 1
+    row, kept = full, []
+    for j, x in enumerate(other):
+        if j % step == 0:
+            kept.append(row)
+        row = after(row, x)
+    found, i, j, rows = [], len(at), len(other), []
     while i and j:
-        if rows[j - 1] >> i - 1 & 1:
+        if not rows:  # rows[k] is the vector after the first of these lines and k more
+            first = (j - 1) // step * step
+            rows = [kept[first // step]]
+            for x in other[first:j]:
+                rows.append(after(rows[-1], x))
+        if rows[-1] >> i - 1 & 1:
             i -= 1
             continue
         j -= 1
-        if not j or rows[j - 1] >> i - 1 & 1:
+        rows.pop()
+        if rows[-1] >> i - 1 & 1:
             i -= 1
-            found.append(lo + i)
+            found.append(at[i])
+        if len(rows) == 1:
+            rows = []
     return [*range(lo), *reversed(found), *range(len(a) - hi, len(a))]
 
 
-def main_text(page_lines: list[tuple[str, int]], hashes: list[int], nearest: list[int] | None) -> str:
-    """The lines that stay: not chrome; of a page with an article or main element, what is in it; of others, what the nearest page doesn't share."""
-    if any(role == CONTENT for _, role in page_lines):
-        shared = {i for i in in_common(hashes, nearest or []) if page_lines[i][1] != CONTENT}
-        return "\n".join(x for i, (x, role) in enumerate(page_lines) if role == CONTENT and i not in shared)
-    shared = set(in_common(hashes, nearest or []))
-    return "\n".join(x for i, (x, role) in enumerate(page_lines) if role != CHROME and i not in shared)
+def main_text(page_lines: list[tuple[str, int]], hashes: list[int], near: list[list[int]]) -> str:
+    """The lines that stay; near: the lines of the nearest pages, the nearest first.
+
+    Lines that the nearest page or half of the others share (by alignment) go, and so do those that markup shows to be chrome. What
+    is inside an article or main element may be quoted by another article, so there it takes at least CERTAIN pages with
+    articles of their own, all of which share the line. Pages with such an element consist of what is in it. A page that
+    has nearly all lines of this one is a copy of it and tells nothing.
+    """
+    content = {i for i, (_, role) in enumerate(page_lines) if role == CONTENT}
+    votes, own_votes, asked, own_asked, first = Counter(), Counter(), 0, 0, set()
+    for other in near:
+        shared = in_common(hashes, other)
+        if 10 * len(shared) >= 9 * max(len(hashes), len(other)):
+            continue
+        votes.update(shared)
+        first = first or set(shared)
+        asked += 1
+        inside = content.intersection(shared)
+        if 2 * len(inside) <= len(content):
+            own_votes.update(inside)
+            own_asked += 1
+    if content:
+        return "\n".join(x for i, (x, role) in enumerate(page_lines) if role == CONTENT and not (own_asked >= CERTAIN and own_votes[i] == own_asked))
+    return "\n".join(x for i, (x, role) in enumerate(page_lines) if role != CHROME and not (i in first or (asked and 2 * votes[i] >= asked)))
 
 
 class _Page:
-    def __init__(self, page_id, url, host, path, packed, roles, hashes):
+    """A page in URL order: part and idx say where it stands, back how many pages of its part come after it (once known)."""
+
+    def __init__(self, part, idx, page_id, url, host, path, packed, roles, hashes, back=None):
+        self.part, self.idx, self.back = part, idx, back
         self.page_id, self.url, self.host, self.path = page_id, url, host or "", path or ""
-        self.packed, self.roles = packed, roles
-        self.lines = list(zip(_unpack(packed, len(roles)), roles))
-        self.hashes = hashes
-
-    def nearness(self, host: str | None, path: str | None) -> int:
-        """Characters of the path that the other page has in common; -1 on another host."""
-        return len(commonprefix([self.path, path or ""])) if host is not None and host == self.host else -1
-
-    def finished(self, before: tuple | None, after: tuple | None) -> tuple:
-        """before, after: (host, path, hashes) of the neighbours in URL order. Of equally near ones the one before counts."""
-        near = max((x for x in (before, after) if x), key=lambda x: self.nearness(x[0], x[1]), default=None)
-        text = main_text(self.lines, self.hashes, near[2] if near and self.nearness(near[0], near[1]) >= 0 else None)
+        self.packed, self.roles, self.hashes = packed, roles, hashes
+
+    def finished(self, around: list[_Page]) -> tuple:
+        """around: the pages within REACH before and after it, in order."""
+        mine = next(i for i, p in enumerate(around) if p is self)
+        same = [(-len(commonprefix([self.path, p.path])), abs(i - mine), i < mine, p) for i, p in enumerate(around) if p is not self and p.host == self.host]
+        nearest, seen = [], {tuple(self.hashes)}
+        for *_, p in sorted(same, key=lambda x: x[:3]):
+            if (key := tuple(p.hashes)) not in seen and len(nearest) < NEAREST:
+                seen.add(key)
+                nearest.append(p.hashes)
+        text = main_text(list(zip(_unpack(self.packed, len(self.roles)), self.roles)), self.hashes, nearest)
         return self.page_id, self.url, text, len(text)
 
-    def outline(self) -> tuple:
-        return self.host, self.path, self.hashes
+    def row(self) -> tuple:
+        return None, None, self.part, self.idx, self.back, self.page_id, self.url, self.host, self.path, self.packed, self.roles, self.hashes
 
 
 _LINES = "page_id long, url string, host string, path string, packed binary, roles array<int>, hashes array<long>"
 _TEXT = "page_id long, url string, text string, n_chars long"
-_OUTLINE = "host string, path string, hashes array<long>"
+_WALKED = "text string, n_chars long, part int, idx long, back long, " + _LINES
 
 
 def _candidates(page_lines: list[tuple[str, int]]) -> list[str | None]:
@@ -190,63 +234,64 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:4], packed, roles, hashes], names=_columns())
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    outline = pa.struct([("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), outline, outline, outline]
-    names = ["page_id", "url", "text", "n_chars", "part", "first", "last", "packed", "roles", "own", "before", "after"]
-    packed = lambda x: dict(zip(("host", "path", "hashes"), x)) if isinstance(x, tuple) else x
-    return pa.RecordBatch.from_arrays([pa.array([packed(r[i]) for r in rows], t) for i, t in enumerate(kinds)], names=names)
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in URL order. Each is finished between its neighbours; a part's first and last page are handed on with what is known of theirs."""
-    before, page, part, at, out = None, None, 0, 0, []
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=[c.split()[0] for c in _WALKED.split(", ")])
 
-    def step(after: _Page | None) -> tuple:
-        first, last = at == 1, after is None
-        edges = before.outline() if before else None, after.outline() if after else None
-        if first or last:
-            return page.page_id, page.url, None, None, part, first, last, page.packed, page.roles, page.outline(), *edges
-        return *page.finished(*edges), part, False, False, *[None] * 5
 
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in URL order. Each is finished among those within REACH; the first and last 2 * REACH of a part are handed on as well, as the outer ones need pages of other parts."""
+    window: deque[_Page] = deque(maxlen=2 * REACH + 1)  # the last page is REACH after the one that is finished
+    tail: deque[_Page] = deque(maxlen=2 * REACH)
+    heads: list[_Page] = []
+    n, out = 0, []
     for batch in batches:
-        for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            found = _Page(*row)
-            if page is not None:
-                out.append(step(found))
-            before, page, at = page, found, at + 1
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            page = _Page(row[0], n, *row[1:])
+            n += 1
+            window.append(page)
+            tail.append(page)
+            if len(heads) < 2 * REACH:
+                heads.append(page)
+            if len(window) == 2 * REACH + 1:
+                done = window[REACH]
+                page_id, url, text, size = done.finished(list(window))
+                out.append((text, size, done.part, done.idx, None, page_id, url, *[None] * 5))
             if len(out) >= 200:
                 yield _batch(out)
                 out = []
-    if page is not None:
-        out.append(step(None))
+    for page in {p.idx: p for p in [*heads, *tail]}.values():
+        page.back = n - 1 - page.idx
+        out.append(page.row())
     if out:
         yield _batch(out)
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for page_id, url, packed, roles, own, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-            page = _Page(page_id, url, own["host"], own["path"], packed, roles, own["hashes"])
-            rows.append(page.finished(*(tuple(x.values()) if x else None for x in (before, after))))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+def _seam(rows: pa.Table) -> pa.Table:
+    """The pages around the seam of two parts (and of all between, if they are short), finished if they stand within REACH of it."""
+    pages = [_Page(*(r[c] for c in ("part", "idx", "page_id", "url", "host", "path", "packed", "roles", "hashes", "back"))) for r in rows.sort_by([("part", "ascending"), ("idx", "ascending")]).to_pylist()]
+    wanted = dict(zip(zip(rows["part"].to_pylist(), rows["idx"].to_pylist()), rows["wanted"].to_pylist()))
+    out = [p.finished(pages[max(0, i - REACH) : i + REACH + 1]) for i, p in enumerate(pages) if wanted[p.part, p.idx]]
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), one row a row of pages (page_id, url, html).
+    """(page_id, url, text, n_chars), one row a row of pages (page_id, url, html); other columns aren't read.
 
     Pages are sorted by range on (host, path), so each meets the pages with the nearest paths right beside it, and no
-    host lands in one task. Of its two neighbours on the same host the one whose path has the longer common start is its
-    partner. The lines of both are aligned by a longest common subsequence and shared lines are deleted, but for those
-    inside an article or main element: a paragraph that two articles quote is text of both. Lines that the markup (tag,
-    role, class, id) shows to be menus, forms, adverts, comments and so on are deleted too.
+    host lands in one task. Within REACH pages before and after it, the NEAREST different pages of its host with the
+    longest common starts of the path are its partners. Its lines are aligned with those of each by a longest common
+    subsequence, and shared lines are deleted (see main_text). Lines that the markup (tag, role, class, id) shows to be
+    menus, forms, adverts, comments and so on are deleted too, as they need not be the same on two pages.
 
     Only lines that may stay are shuffled as (compressed) text; of the others the 64-bit hash, by which lines are aligned, is enough.
-    The pages at the ends of a part are finished afterwards, joined with the ends of the parts beside theirs; the parts
-    that aren't empty are listed on the driver, one number a part. Null html is empty and gives an empty text; null urls
-    share the empty host and path, as do urls without a host. Repeated rows each meet the other. An empty table gives an empty table.
+    The outer pages of a part are finished afterwards, together with those of the parts beside it, so the result doesn't
+    depend on where parts end; the parts that aren't empty are listed on the driver, two numbers a part. Null html is
+    empty and gives an empty text; null urls share the empty host and path, as do urls without a host. Copies of a page
+    are no partners of it, and repeated rows get the same text unless their neighbours differ. A page without partners
+    keeps all that markup doesn't show to be chrome. An empty table gives an empty table.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -255,21 +300,22 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host, path, "html").mapInArrow(_parse, _LINES)
     order = ["host", "path", "page_id", "url"]
     ranged = parsed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "hashes")
-    edge = f"part int, first boolean, last boolean, packed binary, roles array<int>, own struct<{_OUTLINE.replace(' ', ':').replace(',:', ',')}>"
-    edge += "".join(f", {n} struct<{_OUTLINE.replace(' ', ':').replace(',:', ',')}>" for n in ("before", "after"))
-    walked = cut(ranged.select(F.spark_partition_id().alias("part"), *_columns()).mapInArrow(_walk, f"{_TEXT}, {edge}"), "pages", "zstd")
-    done = walked.where("not first and not last").select("page_id", "url", "text", "n_chars")
-    parts = sorted(r[0] for r in walked.where("first").select("part").collect())
-    if not parts:
+    walked = cut(ranged.select(F.spark_partition_id().alias("part"), *_columns()).mapInArrow(_walk, _WALKED), "pages", "zstd")
+    done = walked.where("back is null").select("page_id", "url", "text", "n_chars")
+    sizes = sorted((r[0], r[1] + 1) for r in walked.where("back is not null").groupBy("part").agg(F.max(F.col("idx") + F.col("back"))).collect())
+    if not sizes:
         return done
-    beside = spark.createDataFrame([(p, *x) for p, *x in zip(parts, [None, *parts], [*parts[1:], None])], "part int, prev int, next int")
-    ends = walked.where("first or last")
-    lasts = walked.where("last").select(F.col("part").alias("prev"), F.col("own").alias("over"))
-    firsts = walked.where("first").select(F.col("part").alias("next"), F.col("own").alias("under"))
-    ends = ends.join(beside, "part").join(lasts, "prev", "left").join(firsts, "next", "left")
-    before = F.when(F.col("first"), F.col("over")).otherwise(F.col("before")).alias("before")
-    after = F.when(F.col("last"), F.col("under")).otherwise(F.col("after")).alias("after")
-    return done.unionByName(ends.select("page_id", "url", "packed", "roles", "own", before, after).mapInArrow(_finish, _TEXT))
+    seams, seam = [], 0
+    for part, n in sizes:
+        head = seam
+        seam += n >= 2 * REACH
+        seams.append((part, head, seam))
+    ends = walked.where("back is not null").join(F.broadcast(spark.createDataFrame(seams, "part int, head int, tail int")), "part")
+    near_head, near_tail = F.col("idx") < 2 * REACH, F.col("back") < 2 * REACH
+    ends = ends.withColumn("seam", F.explode(F.array_distinct(F.array_compact(F.array(F.when(near_head, F.col("head")), F.when(near_tail, F.col("tail")))))))
+    wanted = ((F.col("seam") == F.col("head")) & (F.col("idx") < REACH)) | ((F.col("seam") == F.col("tail")) & (F.col("back") < REACH))
+    ends = ends.select("part", "idx", "back", *_columns(), "seam", wanted.alias("wanted"))
+    return done.unionByName(ends.groupBy("seam").applyInArrow(lambda t: _seam(t), _TEXT))
 
 
 def _columns() -> list[str]:

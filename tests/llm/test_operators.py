@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgewise.llm import bpe, embeddings, html, mixing, ordermin, pii, ppm, quality, simhash, substring
 
@@ -356,6 +357,52 @@ def test_html(spark):
         assert len(at) == best and _inside([a[i] for i in at], b)
 
 
+def test_html_differencing_decides(spark):
+    """Without tag hints shared lines go; inside articles a line that all near pages share goes, one that some quote stays; copies are no partners."""
+    bare = lambda *own: "".join(f"<div>{x}</div>" for x in ("Site", "Home", *own, "Imprint"))
+    art = lambda *own: "<article>" + "".join(f"<p>{x}</p>" for x in (*own, "Share this page")) + "</article>"
+    rows = [(i, f"http://a/x/{i}", bare(f"one {i}", f"two {i}")) for i in range(6)]
+    rows += [(10 + i, f"http://a/y/{i}", bare("copied one", "copied two", "copied three")) for i in range(3)]
+    rows += [(20 + i, f"http://b/{i}", art(f"p {i}", f"q {i}", *["quoted"] * (i < 2), f"r {i}")) for i in range(6)]
+    rows += [(30, "http://c/1", art("alone"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("part", F.lit(1))
+    want = {i: f"one {i}\ntwo {i}" for i in range(6)} | {10 + i: "copied one\ncopied two\ncopied three" for i in range(3)}
+    want |= {20 + i: "\n".join([f"p {i}", f"q {i}", *["quoted"] * (i < 2), f"r {i}"]) for i in range(6)} | {30: "alone\nShare this page"}
+    for parts in (1, 3):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts)).collect()} == want
+    off = {i: html.main_text([(x, role) for x, role in html.lines(h)], [hash(x) for x, _ in html.lines(h)], []) for i, _, h in rows}
+    assert all(off[i] != want[i] for i in want if i != 30)
+
+
+def test_html_partners_do_not_depend_on_parts(spark):
+    """Every page against plain Python over the whole order, however the pages are dealt."""
+    import os
+
+    r = random.Random(5)
+    pool = [f"line {i}" for i in range(12)]
+    rows = [(i, f"http://{r.choice('ab')}/{r.choice('xyz')}/{r.randint(0, 30)}", "".join(f"<p>{x}</p>" for x in r.choices(pool, k=r.randint(0, 8)) + [f"own {i}"] * (i % 5 > 0))) for i in range(120)]
+    key = lambda x: (x[1].split("/")[2], "/" + "/".join(x[1].split("/")[3:]), x[0])
+    inorder = sorted(rows, key=key)
+    want = {}
+    for i, row in enumerate(inorder):
+        mine = [x for x, _ in html.lines(row[2])]
+        near = [(-len(os.path.commonprefix([key(row)[1], key(o)[1]])), abs(i - j), j < i, [x for x, _ in html.lines(o[2])]) for j, o in enumerate(inorder) if 0 < abs(i - j) <= html.REACH and key(o)[0] == key(row)[0]]
+        chosen = []
+        for *_, other in sorted(near, key=lambda x: x[:3]):
+            if other != mine and other not in chosen and len(chosen) < html.NEAREST:
+                chosen.append(other)
+        number = {x: n for n, x in enumerate(dict.fromkeys(x for xs in (mine, *chosen) for x in xs))}
+        want[row[0]] = html.main_text(html.lines(row[2]), [number[x] for x in mine], [[number[x] for x in o] for o in chosen])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "5", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {x.page_id: x.text for x in html.extract(df).collect()} == want, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _inside(a, b):
     it = iter(b)
     return all(x in it for x in a)
