@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entities import DEFAULT_LIMIT, MAX_LIMIT, decode_offset, encode_offset, entity_type, glob, key_order
-from ..plans.compile import Checker, Subjects
-from ..plans.policy import Exclusion, Intersection, Module, Policy, Ref, This, Union, Via
+from ..plans.compile import Checker, Subjects, verdict
+from ..plans.policy import Exclusion, Intersection, Module, Policy, Ref, This, Tuples, Union, Via
 from ..sources.store import matching
 
 
@@ -57,7 +57,7 @@ def list_relationships(edges: DataFrame, resource: str | None = None, relation:
 
 def list_subjects(policy: Policy, edges: DataFrame, resource: str, relation: str, subject_type: str | None = None) -> DataFrame:
     """(subject), sorted, distinct, as rules reach them all the way down."""
-    rows = Subjects(policy, edges).relation(resource.split(":")[0], relation).where(F.col("resource") == resource)
+    rows = Subjects(policy, edges).relation(resource.split(":")[0], relation, resource)
     if subject_type:
         rows = rows.where(entity_type(F.col("subject")) == subject_type)
     return rows.select("subject").distinct().orderBy("subject")
@@ -69,7 +69,7 @@ def expand(policy: Policy, edges: DataFrame, resource: str, relation: str, deep:
     t = policy.type(type_name)
     if t is None or t.relation(relation) is None:
         raise ValueError(f"no relation {relation} of {type_name}")
-    return Subjects(policy, edges, deep).relation(type_name, relation).where(F.col("resource") == resource).select("subject").distinct().orderBy("subject")
+    return Subjects(policy, edges, deep).relation(type_name, relation, resource).select("subject").distinct().orderBy("subject")
 
 
 def expand_tree(policy: Policy, edges: DataFrame, resource: str, relation: str) -> DataFrame:
@@ -92,7 +92,7 @@ def expand_tree(policy: Policy, edges: DataFrame, resource: str, relation: str)
             for i, c in enumerate(children):
                 add(me, i, c, owner)
         else:
-            leaves.append(subjects.expression(type_name, owner, expr, ()).where(F.col("resource") == resource).select(F.lit(me).alias("node_id"), "subject"))
+            leaves.append(subjects.expression(type_name, owner, expr, resource).select(F.lit(me).alias("node_id"), "subject"))
 
     add(None, 0, policy.type(type_name).relation(relation).expr or This(), relation)
     users = leaves[0]
@@ -102,34 +102,45 @@ def expand_tree(policy: Policy, edges: DataFrame, resource: str, relation: str)
     return spark.createDataFrame(nodes, "node_id int, parent_id int, ordinal int, node_type string, name string").join(users, "node_id", "left")
 
 
-def trace(policy: Policy, edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(req_id, node_id, parent_id, node_type, name, result): the truth of each node of the rules that requests of one type and permission ask, none left out."""
-    (type_name, permission), *others = {(r[0], r[1]) for r in requests.select(entity_type(F.col("resource")), "permission").distinct().collect()}
-    if others:
+def trace(policy: Policy, edges: DataFrame, requests: DataFrame, **how) -> DataFrame:
+    """(req_id, node_id, parent_id, node_type, name, result, error): the truth of each node of the rules that requests of one type and permission ask.
+
+    None is left out: the decision, the forbids, the permission, its own tuples and all parts of its rule, each read from
+    the same row, so all nodes cost one evaluation. Rules of other types behind a traversal are one node.
+    """
+    kinds = {(r[0], r[1]) for r in requests.select(entity_type(F.col("resource")), "permission").distinct().limit(2).collect()}
+    if len(kinds) != 1:
         raise ValueError("one type and permission at a time")
-    checker, out = Checker(policy, edges), []
-    asked = requests.select("req_id", "resource", F.col("subject").alias("s"))
-    need = asked.select("resource", "s").distinct()
+    (type_name, permission), = kinds
+    t, tree, exprs = policy.type(type_name), [], []
 
-    def add(parent, kind, name, held):
-        me = len(out)
-        out.append(asked.join(held.withColumn("result", F.lit(True)), ["resource", "s"], "left").select("req_id", F.lit(me).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), F.lit(kind).alias("node_type"), F.lit(name).alias("name"), F.coalesce("result", F.lit(False)).alias("result")))
-        return me
+    def add(parent: int | None, kind: str, name: str, column: str) -> int:
+        tree.append((len(tree), parent, kind, name, column))
+        return len(tree) - 1
 
-    def below(parent, expr, owner):
+    def below(parent: int, expr, owner: str) -> None:
         kind = {This: "direct", Ref: "reference", Via: "traversal", Module: "module", Union: "union", Intersection: "intersection", Exclusion: "exclusion"}[type(expr)]
-        me = add(parent, kind, getattr(expr, "name", owner), checker.expression(type_name, owner, expr, need)[0])
+        exprs.append((f"node:{len(tree)}", owner, expr))
+        me = add(parent, kind, getattr(expr, "name", owner), exprs[-1][0])
         for c in (expr.base, expr.less) if isinstance(expr, Exclusion) else getattr(expr, "parts", ()):
             below(me, c, owner)
 
-    root = add(None, "permission", permission, checker.relation((type_name, permission), need)[0])
-    add(root, "direct", permission, checker.direct(permission, need))
-    if (rule := policy.type(type_name).relation(permission)) and rule.expr is not None:
-        below(root, rule.expr, permission)
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    root = add(None, "decision", permission, "decision")
+    for i, f in enumerate(t.forbids if t else []):
+        me = add(root, "forbid", f.name, f"forbid:{i}")
+        if f.expr is not None:
+            below(me, f.expr, f.name)
+    me = add(root, "permission", permission, permission)
+    exprs.append((f"node:{len(tree)}", permission, Tuples(permission)))
+    add(me, "direct", permission, exprs[-1][0])
+    if t and (rule := t.relation(permission)) and rule.expr is not None:
+        below(me, rule.expr, permission)
+    asked = requests.select("req_id", "resource", F.col("subject").alias("s"))
+    told = Checker(policy, edges, **how).evaluate(type_name, [permission], asked.select("resource", "s").distinct(), forbids=True, nodes=exprs)
+    decision, error = verdict(told, permission)
+    told = told.withColumn("decision", F.struct((decision == "allow").alias("held"), error.alias("error")))
+    nodes = [F.struct(F.lit(i).alias("node_id"), F.lit(p).cast("int").alias("parent_id"), F.lit(k).alias("node_type"), F.lit(n).alias("name"), F.col(f"`{c}`.held").alias("result"), F.col(f"`{c}`.error").alias("error")) for i, p, k, n, c in tree]
+    return asked.join(told.select("resource", "s", F.array(*nodes).alias("nodes")), ["resource", "s"]).select("req_id", F.explode("nodes").alias("n")).select("req_id", "n.*")
 
 
 def page(rows: DataFrame, limit: int | None = None, cursor: str | None = None, default: int | None = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> Page:

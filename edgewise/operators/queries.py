@@ -10,23 +10,23 @@ from ..functions.entities import key_order
 from ..plans.compile import resolve
 from ..plans.policy import parse
 from ..sources import graph
-from ..sources.store import Tenants, intervals, matching, read_changes, visible
+from ..sources.store import Tenants, as_of, intervals, matching, read_changes, visible
 from . import access
 
 POLICY = parse(graph.POLICY)
 
 
 def _checks(spark, d, permission, documented=False):
-    return access.check_batch(POLICY, graph.edges(spark, d), graph.requests(spark, d, permission)).select("req_id", "decision")
+    return access.check_batch(POLICY, graph.stored(spark, d), graph.requests(spark, d, permission)).select("req_id", "decision")
 
 
 def _edges(spark, d, resource=None, relation=None, subject=None):
-    return matching(graph.edges(spark, d), resource=resource, relation=relation, subject=subject)
+    return matching(graph.stored(spark, d), resource=resource, relation=relation, subject=subject)
 
 
 def _overlay(spark, d):
     extra = spark.createDataFrame([("customer:1", "owner", "user:3"), ("region:0", "admin", "user:2"), ("order:4", "suspended_user", "user:4")], "resource string, relation string, subject string")
-    return access.simulate(graph.edges(spark, d), extra, graph.requests(spark, d, "can_view"), POLICY).select("req_id", "decision")
+    return access.simulate(graph.stored(spark, d), extra, graph.requests(spark, d, "can_view"), POLICY).select("req_id", "decision")
 
 
 def _tenants(spark, d):
@@ -39,15 +39,13 @@ def _tenants(spark, d):
 
 
 def _as_of(spark, d):
-    """Each request sees the graph as it was at its own revision: an equi-join on the tuple's key and an interval."""
-    rows = intervals(graph.changes(spark, d))
-    asked = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS req_id", "concat('doc:', event_id % 50) AS resource", "concat('user:', user_id % 10) AS subject", "event_id + 1 AS at")
-    hit = visible(asked.join(rows, ["resource", "subject"]), F.col("at")).select("req_id").distinct().withColumn("hit", F.lit(1))
-    return asked.join(hit, "req_id", "left").select("req_id", F.when(F.col("hit") == 1, "allow").otherwise("deny").alias("decision"))
+    """Each request sees the graph as it was at its own revision."""
+    asked = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS req_id", "concat('doc:', event_id % 50) AS resource", "'viewer' AS relation", "concat('user:', user_id % 10) AS subject", "event_id + 1 AS at")
+    return as_of(graph.changes(spark, d), asked)
 
 
 def _both_ways(spark, d):
-    e = graph.edges(spark, d)
+    e = graph.stored(spark, d)
     one, all_ = (access.expand(POLICY, e, "order:150", "can_view", deep).select("subject") for deep in (False, True))
     return all_.join(one.withColumn("shallow", F.lit(True)), "subject", "left").select("subject", F.coalesce("shallow", F.lit(False)).alias("shallow"))
 
@@ -55,7 +53,7 @@ def _both_ways(spark, d):
 QUERIES = {
     "rel_scan_filter": lambda s, d: _edges(s, d, relation="owner", subject="user:5"),
     "rel_point_lookup": lambda s, d: _edges(s, d, "nation:3", "parent", "region:1").unionByName(_edges(s, d, "order:50", "viewer")),
-    "resources_by_type": lambda s, d: graph.edges(s, d).where(F.col("resource").startswith("customer:")).select("resource").distinct(),
+    "resources_by_type": lambda s, d: graph.stored(s, d).where(F.col("resource").startswith("customer:")).select("resource").distinct(),
     "snapshot_asof": lambda s, d: visible(intervals(graph.changes(s, d)), 500).select("resource", "relation", "subject"),
     "asof_per_request": _as_of,
     "changelog_replay": lambda s, d: intervals(graph.changes(s, d)).selectExpr("resource", "subject", "CAST(created_at AS BIGINT) AS created_at", "CAST(deleted_at AS BIGINT) AS deleted_at"),
@@ -67,18 +65,18 @@ QUERIES = {
     "check_exclusion_batch": partial(_checks, permission="safe_view"),
     "check_forbid_batch": partial(_checks, permission="blocked_user"),
     "check_hierarchy_batch": partial(_checks, permission="can_view"),
-    "list_resources_user": lambda s, d: access.list_resources(POLICY, graph.edges(s, d), "user:7", "order", "can_view"),
-    "list_resources_glob": lambda s, d: access.list_resources(POLICY, graph.edges(s, d), "user:3", "order", "can_view", "order:1?*5"),
-    "list_subjects_resource": lambda s, d: access.list_subjects(POLICY, graph.edges(s, d), "order:150", "can_view", "user"),
-    "expand_users": lambda s, d: access.expand(POLICY, graph.edges(s, d), "order:150", "can_view"),
+    "list_resources_user": lambda s, d: access.list_resources(POLICY, graph.stored(s, d), "user:7", "order", "can_view"),
+    "list_resources_glob": lambda s, d: access.list_resources(POLICY, graph.stored(s, d), "user:3", "order", "can_view", "order:1?*5"),
+    "list_subjects_resource": lambda s, d: access.list_subjects(POLICY, graph.stored(s, d), "order:150", "can_view", "user"),
+    "expand_users": lambda s, d: access.expand(POLICY, graph.stored(s, d), "order:150", "can_view"),
     "expand_shallow_vs_deep": _both_ways,
-    "resolve_recursive": lambda s, d: resolve(graph.edges(s, d), "customer", "admin", "parent"),
+    "resolve_recursive": lambda s, d: resolve(graph.stored(s, d), "customer", "admin", "parent"),
     "simulate_overlay": _overlay,
     "delete_by_filter_preview": lambda s, d: _edges(s, d, relation="editor").orderBy(key_order()).limit(100),
     "tenant_cascade": _tenants,
-    "trace_node_counts": lambda s, d: access.trace(POLICY, graph.edges(s, d), graph.requests(s, d, "can_view")).groupBy("node_type", "name").agg(F.count("*").alias("n"), F.sum(F.col("result").cast("long")).alias("n_true")),
+    "trace_node_counts": lambda s, d: access.trace(POLICY, graph.stored(s, d), graph.requests(s, d, "can_view")).groupBy("node_type", "name").agg(F.count("*").alias("n"), F.sum(F.col("result").cast("long")).alias("n_true")),
     "watch_batch": lambda s, d: graph.changes(s, d).where("revision >= 200 AND operation = 'delete'").selectExpr("CAST(revision AS BIGINT) AS revision", "resource", "subject"),
-    "topk_resources": lambda s, d: graph.edges(s, d).where("relation = 'viewer'").groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject").limit(10),
+    "topk_resources": lambda s, d: graph.stored(s, d).where("relation = 'viewer'").groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject").limit(10),
 }
 
 _CTE = f"WITH edges AS ({graph.EDGES_SQL}), requests AS ({graph.REQUESTS_SQL})"

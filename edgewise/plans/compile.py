@@ -9,51 +9,45 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import entity_type, wildcard
 from ..sources.shared import cut
-from .policy import Exclusion, Intersection, Module, Policy, Ref, This, Union, Via, walk
+from .policy import Exclusion, Intersection, Module, Policy, Ref, This, Tuples, Union, Via, walk
 
 Key = tuple[str, str]
 
 
+Truth = tuple[Column, Column]  # whether it holds, and its error
+
+
 class Checker:
     """Which of the demanded (resource, s) pairs hold a relation, and which fail with an error.
 
-    Each rule is turned into joins over only those pairs that a request asks about, hop by hop (left-semi joins of the
-    edges with the demand), so the work follows the requests and not the graph. Wildcard grants match at the leaves, so
-    |, & and - are plain set operations. A relation's own tuples grant it before its rule is asked; `this` in a rule
-    means tuples of a relation called this, unless documented=True, where it means the relation itself. Nothing is
-    short-circuited: an error in any branch is an error of the whole. Recursive rules are solved by a least fixpoint.
+    All relations that a rule reads on its own type are looked up in one join of the demanded pairs with the edges; |, &
+    and - are then columns of the pair's row. Each traversal is one more join, to the pairs demanded of the next type, so
+    the work follows the requests and not the graph. Wildcard grants match at the leaves. A relation's own tuples grant it
+    before its rule is asked; `this` in a rule means tuples of a relation called this, unless documented=True, where it
+    means the relation itself. Nothing is short-circuited: an error in any branch is an error of the whole, through
+    recursion as well. Recursive rules are solved by a least fixpoint.
     """
 
     def __init__(self, policy: Policy, edges: DataFrame, modules: dict[str, Callable[[Column, Column], Column]] | None = None, documented: bool = False, cap: int = 100):
         self.policy, self.edges, self.modules, self.documented, self.cap = policy, edges, modules or {}, documented, cap
         self._types: dict[Key, list[str]] | None = None
+        self._circles: dict[Key, set[Key]] = {}
 
     def leads_to(self, type_name: str, relation: str) -> list[str]:
-        """Types of the subjects of a relation, from the data. One small aggregation for all."""
+        """Types of the subjects of a relation, from the data. One small aggregation over the relations that rules traverse."""
         if self._types is None:
             self._types = {}
-            for r in self.edges.select(entity_type(F.col("resource")), "relation", entity_type(F.col("subject"))).distinct().collect():
+            through = sorted({x.through for t in self.policy.types for r in [*t.relations, *t.forbids] for x in walk(r.expr) if isinstance(x, Via)})
+            for r in self.edges.where(F.col("relation").isin(through)).select(entity_type(F.col("resource")), "relation", entity_type(F.col("subject"))).distinct().collect():
                 self._types.setdefault((r[0], r[1]), []).append(r[2])
         return sorted(self._types.get((type_name, relation), []))
 
-    def _none(self, need: DataFrame) -> DataFrame:
-        return need.where(F.lit(False)).select("resource", "s")
-
-    def _failed(self, need: DataFrame, why: str) -> DataFrame:
-        return need.select("resource", "s", F.lit(why).alias("error"))
-
-    def direct(self, relation: str, need: DataFrame) -> DataFrame:
-        asked = need.select("resource", "s", F.explode(F.array_distinct(F.array("s", wildcard(F.col("s"))))).alias("subject"))
-        found = self.edges.where(F.col("relation") == relation).select("resource", "subject")
-        return asked.join(found, ["resource", "subject"], "left_semi").select("resource", "s").distinct()
-
-    def _hop(self, through: str, need: DataFrame) -> DataFrame:
-        step = self.edges.where(F.col("relation") == through).select("resource", F.col("subject").alias("object"))
-        return need.join(step, "resource")
+    def _rule(self, key: Key):
+        t = self.policy.type(key[0])
+        return t.relation(key[1]) if t else None
 
     def _reaches(self, key: Key) -> list[Key]:
-        t = self.policy.type(key[0])
-        rule = t.relation(key[1]) if t else None
+        rule = self._rule(key)
         out = []
         for x in walk(rule.expr if rule else None):
             if isinstance(x, Ref):
@@ -74,36 +68,138 @@ class Checker:
                     todo += self._reaches(k)
             return seen
 
-        below = reach(key)
-        return {k for k in below if key in reach(k)} if key in below else set()
+        if key not in self._circles:
+            below = reach(key)
+            self._circles[key] = {k for k in below if key in reach(k)} if key in below else set()
+        return self._circles[key]
+
+    def _leaves(self, type_name: str, name: str, expr, known: set[Key], seen: set[str], leaves: dict) -> None:
+        """What an expression reads: tuples of its own type, traversals, and relations solved elsewhere."""
+        for x in walk(expr):
+            if isinstance(x, This):
+                leaves.setdefault(("direct", name if self.documented else "this"))
+            elif isinstance(x, Tuples):
+                leaves.setdefault(("direct", x.name))
+            elif isinstance(x, Ref):
+                self._relation_leaves((type_name, x.name), known, seen, leaves)
+            elif isinstance(x, Via):
+                leaves.setdefault(("via", x.through, x.name))
+
+    def _relation_leaves(self, key: Key, known: set[Key], seen: set[str], leaves: dict) -> None:
+        if key in known or self._circle(key):
+            leaves.setdefault(("known", key[1]))
+            return
+        leaves.setdefault(("direct", key[1]))
+        if key[1] not in seen and (rule := self._rule(key)):
+            seen.add(key[1])
+            self._leaves(*key, rule.expr, known, seen, leaves)
+
+    def direct(self, relations: list[str], need: DataFrame) -> DataFrame:
+        """need's pairs that have tuples of any of the relations, with one boolean column for each."""
+        asked = need.select("resource", "s", F.explode(F.array_distinct(F.array("s", wildcard(F.col("s"))))).alias("subject"))
+        found = self.edges.where(F.col("relation").isin(relations)).select("resource", "subject", "relation")
+        has = [F.max(F.col("relation") == r).alias(f"direct:{r}") for r in relations]
+        return asked.join(found, ["resource", "subject"]).groupBy("resource", "s").agg(*has)
 
-    def relation(self, key: Key, need: DataFrame, known: dict[Key, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """(pairs that hold, pairs with an error or None) of a relation."""
-        type_name, name = key
-        if known and key in known:
-            return need.join(known[key], ["resource", "s"], "left_semi").select("resource", "s"), None
-        own = self.direct(name, need)
-        t = self.policy.type(type_name)
-        rule = t.relation(name) if t else None
+    def _hop(self, through: str, need: DataFrame) -> DataFrame:
+        step = self.edges.where(F.col("relation") == through).select("resource", F.col("subject").alias("object"))
+        return need.select("resource", "s").join(step, "resource")
+
+    def _joined(self, type_name: str, need: DataFrame, leaves: dict, known: dict[Key, DataFrame]) -> DataFrame:
+        """need's pairs with a column for each leaf: a boolean for tuples, a struct (held, error) for the others."""
+        out = need.select("resource", "s")
+        if relations := sorted(x[1] for x in leaves if x[0] == "direct"):
+            out = out.join(self.direct(relations, need), ["resource", "s"], "left")
+            out = out.withColumns({f"direct:{r}": F.coalesce(F.col(f"`direct:{r}`"), F.lit(False)) for r in relations})
+        for _, name in (x for x in leaves if x[0] == "known"):
+            key = (type_name, name)
+            state = known[key] if key in known else self._fixpoint(key, self._circle(key), need)
+            out = out.join(state.select("resource", "s", F.struct("held", "error").alias(f"known:{name}")), ["resource", "s"], "left")
+        by_hop: dict[str, list[str]] = {}
+        for _, through, name in (x for x in leaves if x[0] == "via"):
+            by_hop.setdefault(through, []).append(name)
+        for through, names in by_hop.items():
+            hop, parts = cut(self._hop(through, need), "hop"), []  # read three times by the next type's plan
+            for to in self.leads_to(type_name, through):
+                mine = hop.where(entity_type(F.col("object")) == to)
+                below = mine.select(F.col("object").alias("resource"), "s").distinct()
+                told = self.evaluate(to, names, below, known).withColumnRenamed("resource", "object")
+                parts.append(mine.join(told, ["object", "s"]).select("resource", "s", *[F.col(f"`{n}`") for n in names]))
+            if not parts:
+                continue
+            up = parts[0]
+            for more in parts[1:]:
+                up = up.unionByName(more)
+            any_of = [F.struct(F.max(F.col(f"`{n}`.held")).alias("held"), F.min(F.col(f"`{n}`.error")).alias("error")).alias(f"via:{through}:{n}") for n in names]
+            out = out.join(up.groupBy("resource", "s").agg(*any_of), ["resource", "s"], "left")
+        return out
+
+    def _truth(self, type_name: str, name: str, expr, columns: list[str]) -> Truth:
+        """An expression as columns of the row that _joined() makes."""
+        none, no = F.lit(None).cast("string"), F.lit(False)
+        of = lambda c: (F.coalesce(F.col(f"`{c}`.held"), no), F.col(f"`{c}`.error")) if c in columns else (no, none)
+        if isinstance(expr, This):
+            return F.col(f"`direct:{name if self.documented else 'this'}`"), none
+        if isinstance(expr, Tuples):
+            return F.col(f"`direct:{expr.name}`"), none
+        if isinstance(expr, Ref):
+            return self._relation_truth((type_name, expr.name), columns)
+        if isinstance(expr, Module):
+            if expr.name not in self.modules:
+                return no, F.lit(f"Module not found: {expr.name}")
+            return F.coalesce(self.modules[expr.name](F.col("s"), F.col("resource")), no), none
+        if isinstance(expr, Via):
+            return of(f"via:{expr.through}:{expr.name}")
+        parts = [expr.base, expr.less] if isinstance(expr, Exclusion) else list(expr.parts)
+        told = [self._truth(type_name, name, p, columns) for p in parts]
+        held = told[0][0]
+        for more, _ in told[1:]:
+            held = held | more if isinstance(expr, Union) else held & (~more if isinstance(expr, Exclusion) else more)
+        return held, F.least(*[e for _, e in told])
+
+    def _relation_truth(self, key: Key, columns: list[str]) -> Truth:
+        if f"known:{key[1]}" in columns:
+            return F.coalesce(F.col(f"`known:{key[1]}`.held"), F.lit(False)), F.col(f"`known:{key[1]}`.error")
+        own, rule = F.col(f"`direct:{key[1]}`"), self._rule(key)
         if rule is None:
-            why = f"Relation not found: {name}" if t else f"Type not found: {type_name}"
-            return own, self._failed(need.join(own, ["resource", "s"], "left_anti"), why)
+            why = f"Relation not found: {key[1]}" if self.policy.type(key[0]) else f"Type not found: {key[0]}"
+            return own, F.when(~own, why)
         if rule.expr is None:
-            return own, None
-        if not known and (circle := self._circle(key)):
-            return self._fixpoint(key, circle, need), None
-        held, bad = self.expression(type_name, name, rule.expr, need, known)
-        held = own.unionByName(held).distinct()
-        return held, bad.join(own, ["resource", "s"], "left_anti") if bad is not None else None
+            return own, F.lit(None).cast("string")
+        held, error = self._truth(*key, rule.expr, columns)
+        return own | held, F.when(~own, error)
+
+    def evaluate(self, type_name: str, names: list[str], need: DataFrame, known: dict[Key, DataFrame] | None = None, forbids: bool = False, nodes: list | None = None) -> DataFrame:
+        """need's pairs with a struct (held, error) for each of the relations.
+
+        With forbids also for each forbid of the type, named forbid:0 and so on; nodes: (name, relation, expression) of more columns.
+        """
+        known = known or {}
+        t, leaves, seen = self.policy.type(type_name), {}, set()
+        for n in names:
+            self._relation_leaves((type_name, n), set(known), seen, leaves)
+        rules = [(f"forbid:{i}", f) for i, f in enumerate(t.forbids)] if forbids and t else []
+        for _, f in rules:
+            leaves.setdefault(("direct", f.name)) if f.expr is None else self._leaves(type_name, f.name, f.expr, set(known), seen, leaves)
+        for _, owner, expr in nodes or []:
+            self._leaves(type_name, owner, expr, set(known), seen, leaves)
+        rows = self._joined(type_name, need, leaves, known)
+        truths = {n: self._relation_truth((type_name, n), rows.columns) for n in names}
+        truths |= {c: (F.col(f"`direct:{f.name}`"), F.lit(None).cast("string")) if f.expr is None else self._truth(type_name, f.name, f.expr, rows.columns) for c, f in rules}
+        truths |= {c: self._truth(type_name, owner, expr, rows.columns) for c, owner, expr in nodes or []}
+        return rows.select("resource", "s", *[F.struct(h.alias("held"), e.alias("error")).alias(c) for c, (h, e) in truths.items()])
 
     def _fixpoint(self, key: Key, circle: set[Key], need: DataFrame) -> DataFrame:
-        """Least fixpoint over the relations of a circle: first all pairs asked for, then those that hold, in rounds until nothing is new."""
-        rules = {k: self.policy.type(k[0]).relation(k[1]) for k in circle}
-        if any(isinstance(x, Exclusion) and any((isinstance(y, Ref) and y.name in {k[1] for k in circle}) or (isinstance(y, Via) and y.name in {k[1] for k in circle}) for y in walk(x.less)) for r in rules.values() for x in walk(r.expr)):
-            raise ValueError(f"{key[0]}.{key[1]} is recursive through the right side of -")
+        """(resource, s, held, error) by a least fixpoint over the relations of a circle: first all pairs asked for, then what holds and fails, in rounds until nothing is new."""
+        rules = {k: self._rule(k) for k in circle}
+        for k, r in rules.items():
+            for x in walk(r.expr):
+                for y in walk(x.less) if isinstance(x, Exclusion) else ():
+                    if (isinstance(y, Ref) and (k[0], y.name) in circle) or (isinstance(y, Via) and any((to, y.name) in circle for to in self.leads_to(k[0], y.through))):
+                        raise ValueError(f"{key[0]}.{key[1]} is recursive through the right side of -")
         empty = need.where(F.lit(False)).select("resource", "s")
         asked = {k: empty for k in circle} | {key: cut(need.select("resource", "s").distinct(), "need")}
-        fresh = dict(asked)
+        fresh = {key: asked[key]}
         for _ in range(self.cap):
             more: dict[Key, DataFrame] = {}
             for k, n in fresh.items():
@@ -124,53 +220,24 @@ class Checker:
             asked |= {k: asked[k].unionByName(d) for k, d in fresh.items()}
         else:
             raise RuntimeError(f"{key[0]}.{key[1]}: demand still grows after {self.cap} rounds")
-        held = {k: empty for k in circle}
-        count = {k: 0 for k in circle}
+        state = {k: cut(asked[k].select("*", F.lit(False).alias("held"), F.lit(None).cast("string").alias("error")), "state") for k in circle}
+        was = None
         for _ in range(self.cap):
             new = {}
             for k in circle:
-                found, _ = self.expression(*k, rules[k].expr, asked[k], held)
-                new[k] = cut(self.direct(k[1], asked[k]).unionByName(found).distinct(), "held")
-            held, was = new, count
-            count = {k: d.count() for k, d in held.items()}
-            if count == was:
-                return held[key]
+                leaves: dict = {("direct", k[1]): None}
+                self._leaves(*k, rules[k].expr, circle, set(), leaves)
+                rows = self._joined(k[0], asked[k], leaves, state)
+                held, error = self._truth(*k, rules[k].expr, rows.columns)
+                own = F.col(f"`direct:{k[1]}`")
+                new[k] = cut(rows.select("resource", "s", (own | held).alias("held"), F.when(~own, error).alias("error")), "state")
+            state = new
+            now = {k: tuple(d.agg(F.count_if("held"), F.count("error"), F.bit_xor(F.xxhash64("resource", "s", "error"))).first()) for k, d in state.items()}
+            if now == was:
+                return state[key]
+            was = now
         raise RuntimeError(f"{key[0]}.{key[1]}: no fixpoint after {self.cap} rounds")
 
-    def expression(self, type_name: str, name: str, expr, need: DataFrame, known: dict[Key, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
-        if isinstance(expr, This):
-            return self.direct(name if self.documented else "this", need), None
-        if isinstance(expr, Ref):
-            return self.relation((type_name, expr.name), need, known)
-        if isinstance(expr, Module):
-            if expr.name not in self.modules:
-                return self._none(need), self._failed(need, f"Module not found: {expr.name}")
-            return need.where(self.modules[expr.name](F.col("s"), F.col("resource"))).select("resource", "s"), None
-        if isinstance(expr, Via):
-            hop = self._hop(expr.through, need)
-            held, bad = self._none(need), None
-            for to in self.leads_to(type_name, expr.through):
-                mine = hop.where(entity_type(F.col("object")) == to)
-                below = mine.select(F.col("object").alias("resource"), "s").distinct()
-                yes, no = self.relation((to, expr.name), below, known)
-                held = held.unionByName(mine.join(yes.withColumnRenamed("resource", "object"), ["object", "s"], "left_semi").select("resource", "s"))
-                if no is not None:
-                    up = mine.join(no.withColumnRenamed("resource", "object"), ["object", "s"]).select("resource", "s", "error")
-                    bad = up if bad is None else bad.unionByName(up)
-            return held.distinct(), bad
-        parts = [expr.base, expr.less] if isinstance(expr, Exclusion) else list(expr.parts)
-        done = [self.expression(type_name, name, p, need, known) for p in parts]
-        bad = None
-        for _, b in done:
-            bad = b if bad is None else bad if b is None else bad.unionByName(b)
-        held = done[0][0]
-        for more, _ in done[1:]:
-            if isinstance(expr, Union):
-                held = held.unionByName(more)
-            else:
-                held = held.join(more, ["resource", "s"], "left_anti" if isinstance(expr, Exclusion) else "left_semi")
-        return held.distinct(), bad
-
     def check(self, requests: DataFrame) -> DataFrame:
         """(req_id, decision, error) for requests (req_id, subject, resource, permission).
 
@@ -182,73 +249,81 @@ class Checker:
         out = None
         for type_name, permission in kinds:
             mine = asked.where((F.col("type") == type_name) & (F.col("permission") == permission))
-            need = mine.select("resource", "s").distinct()
-            held, bad = self.relation((type_name, permission), need)
-            marks = held.select("resource", "s", F.lit(0).alias("forbid"), F.lit(True).alias("yes"), F.lit(None).cast("string").alias("error"))
-            if bad is not None:
-                marks = marks.unionByName(bad.select("resource", "s", F.lit(0).alias("forbid"), F.lit(False).alias("yes"), "error"))
-            t = self.policy.type(type_name)
-            for i, f in enumerate(t.forbids if t else [], 1):
-                hit, no = (self.direct(f.name, need), None) if f.expr is None else self.expression(type_name, f.name, f.expr, need)
-                marks = marks.unionByName(hit.select("resource", "s", F.lit(i).alias("forbid"), F.lit(True).alias("yes"), F.lit(None).cast("string").alias("error")))
-                if no is not None:
-                    marks = marks.unionByName(no.select("resource", "s", F.lit(i).alias("forbid"), F.lit(False).alias("yes"), "error"))
-            first = F.min(F.when(F.col("forbid") > 0, F.struct("forbid", "yes", "error")))
-            told = marks.groupBy("resource", "s").agg(first.alias("f"), F.max(F.when(F.col("forbid") == 0, F.col("yes"))).alias("yes"), F.min(F.when(F.col("forbid") == 0, F.col("error"))).alias("bad"))
-            error = F.when(F.col("f").isNotNull(), F.col("f.error")).otherwise(F.col("bad"))
-            allow = F.col("f").isNull() & F.col("bad").isNull() & F.coalesce("yes", F.lit(False))
-            one = mine.join(told, ["resource", "s"], "left").select("req_id", F.when(allow, "allow").otherwise("deny").alias("decision"), error.alias("error"))
+            told = self.evaluate(type_name, [permission], mine.select("resource", "s").distinct(), forbids=True)
+            decision, error = verdict(told, permission)
+            told = told.select("resource", "s", decision.alias("decision"), error.alias("error"))
+            one = mine.join(told, ["resource", "s"]).select("req_id", "decision", "error")
             out = one if out is None else out.unionByName(one)
         if out is None:
             return asked.select("req_id", F.lit("deny").alias("decision"), F.lit(None).cast("string").alias("error"))
         return out
 
 
+def verdict(told: DataFrame, permission: str) -> Truth:
+    """Decision and error from the columns of a permission and the forbids before it."""
+    error, allow = F.col(f"`{permission}`.error"), F.col(f"`{permission}`.held")
+    decision = F.when(error.isNull() & allow, "allow").otherwise("deny")
+    for c in sorted((c for c in told.columns if c.startswith("forbid:")), key=lambda c: -int(c[7:])):
+        bad, hit = F.col(f"`{c}`.error"), F.col(f"`{c}`.held")
+        decision = F.when(bad.isNotNull() | hit, "deny").otherwise(decision)
+        error = F.when(bad.isNotNull(), bad).when(~hit, error)
+    return decision, error
+
+
 class Subjects:
-    """The subjects that hold a relation, as plain sets: wildcards are literal, `this` is the relation's own tuples, forbids don't count.
+    """The subjects that hold a relation on the given resources, as plain sets: wildcards are literal, `this` is the relation's own tuples, forbids don't count.
 
-    deep=False follows a traversal one level only, to the tuples of the named relation (expand); deep=True follows its
-    rule as well (list_subjects). Undefined types and relations on the way are skipped.
+    Tuples are read for the given resources only and, behind a traversal, for what it leads to from them. deep=False
+    follows a traversal one level only, to the tuples of the named relation (expand); deep=True follows its rule as well
+    (list_subjects). Undefined types and relations on the way are skipped.
     """
 
     def __init__(self, policy: Policy, edges: DataFrame, deep: bool = True):
         self.policy, self.edges, self.deep = policy, edges, deep
         self._checker = Checker(policy, edges)
 
-    def tuples(self, type_name: str, relation: str) -> DataFrame:
-        return self.edges.where((F.col("relation") == relation) & (entity_type(F.col("resource")) == type_name)).select("resource", "subject")
+    def tuples(self, type_name: str, relation: str, of: str | DataFrame | None = None) -> DataFrame:
+        """of: a resource, or a table of resources; None is all."""
+        rows = self.edges.where((F.col("relation") == relation) & (entity_type(F.col("resource")) == type_name))
+        if isinstance(of, str):
+            rows = rows.where(F.col("resource") == of)
+        elif of is not None:
+            rows = rows.join(of.select("resource").distinct(), "resource", "left_semi")
+        return rows.select("resource", "subject")
 
-    def relation(self, type_name: str, name: str, path: tuple[Key, ...] = ()) -> DataFrame:
+    def relation(self, type_name: str, name: str, of: str | DataFrame | None = None, path: tuple[Key, ...] = ()) -> DataFrame:
         key = (type_name, name)
         t = self.policy.type(type_name)
         rule = t.relation(name) if t else None
         if rule is None or rule.expr is None or key in path:
-            return self.tuples(type_name, name)
-        return self.expression(type_name, name, rule.expr, (*path, key))
+            return self.tuples(type_name, name, of)
+        return self.expression(type_name, name, rule.expr, of, (*path, key))
 
-    def expression(self, type_name: str, name: str, expr, path: tuple[Key, ...]) -> DataFrame:
+    def expression(self, type_name: str, name: str, expr, of: str | DataFrame | None = None, path: tuple[Key, ...] = ()) -> DataFrame:
         if isinstance(expr, This):
-            return self.tuples(type_name, name)
+            return self.tuples(type_name, name, of)
         if isinstance(expr, Ref):
             t = self.policy.type(type_name)
             if t.relation(expr.name) is None:
                 raise ValueError(f"Relation not found: {expr.name}")
-            return self.relation(type_name, expr.name, path)
+            return self.relation(type_name, expr.name, of, path)
         if isinstance(expr, Module):
             raise ValueError("modules can't be listed")
         if isinstance(expr, Via):
-            hop = self.tuples(type_name, expr.through).withColumnRenamed("subject", "object")
+            hop = self.tuples(type_name, expr.through, of).withColumnRenamed("subject", "object")
             out = None
             for to in self._checker.leads_to(type_name, expr.through):
                 t = self.policy.type(to)
                 if t is None or t.relation(expr.name) is None:
                     continue
-                below = self.relation(to, expr.name, path) if self.deep else self.tuples(to, expr.name)
-                one = hop.where(entity_type(F.col("object")) == to).join(below.withColumnRenamed("resource", "object"), "object").select("resource", "subject")
+                mine = hop.where(entity_type(F.col("object")) == to)
+                objects = mine.select(F.col("object").alias("resource")) if of is not None else None
+                below = self.relation(to, expr.name, objects, path) if self.deep else self.tuples(to, expr.name, objects)
+                one = mine.join(below.withColumnRenamed("resource", "object"), "object").select("resource", "subject")
                 out = one if out is None else out.unionByName(one)
             return out.distinct() if out is not None else hop.where(F.lit(False)).select("resource", F.col("object").alias("subject"))
         parts = [expr.base, expr.less] if isinstance(expr, Exclusion) else list(expr.parts)
-        held, *rest = [self.expression(type_name, name, p, path) for p in parts]
+        held, *rest = [self.expression(type_name, name, p, of, path) for p in parts]
         for more in rest:
             held = held.unionByName(more) if isinstance(expr, Union) else held.join(more, ["resource", "subject"], "left_semi" if isinstance(expr, Intersection) else "left_anti")
         return held.distinct()

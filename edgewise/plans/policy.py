@@ -17,6 +17,13 @@ class This:
     pass
 
 
+@dataclass(frozen=True)
+class Tuples:
+    """A relation's own tuples, without its rule. Nothing parses to it."""
+
+    name: str
+
+
 @dataclass(frozen=True)
 class Ref:
     name: str

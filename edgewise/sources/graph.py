@@ -60,6 +60,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).distinct()
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges() as the session's table, in one folder for each relation and sorted by resource, so a check reads only the relations it asks for. Made once a session and folder of tables."""
+    from .shared import cut
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        made = edges(spark, sf_dir).repartition("relation", "resource").sortWithinPartitions("relation", "resource")
+        _STORED[key] = cut(made, "graph", ("relation",)).select("resource", "relation", "subject")
+    return _STORED[key]
+
+
 def requests(spark: SparkSession, sf_dir: str, permission: str) -> DataFrame:
     events = _read(spark, sf_dir, "events")
     n = events.selectExpr("count(DISTINCT user_id) AS n").first()[0]

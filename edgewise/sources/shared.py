@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode, as in tests, a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="edgewise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that its lineage ends there."""
+def cut(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df written to the shared folder, in one folder for each value of the columns `by`, and read again, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/edgewise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
