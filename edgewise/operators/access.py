@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.entities import DEFAULT_LIMIT, MAX_LIMIT, decode_offset, encode_offset, entity_type, glob, key_order
+from ..functions.entities import DEFAULT_LIMIT, MAX_LIMIT, decode_offset, encode_offset, entity_type, glob, key_order, request_error
 from ..plans.compile import Checker, Subjects, verdict
 from ..plans.policy import Exclusion, Intersection, Module, Policy, Ref, This, Tuples, Union, Via
+from ..sources.shared import cut
 from ..sources.store import matching
 
 
@@ -144,19 +145,32 @@ def trace(policy: Policy, edges: DataFrame, requests: DataFrame, **how) -> DataF
 
 
 def page(rows: DataFrame, limit: int | None = None, cursor: str | None = None, default: int | None = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> Page:
-    """A page of sorted rows. The cursor counts rows; there is one only if more rows remain."""
+    """A page of sorted rows. The cursor counts rows; there is one only if more rows remain. The rows are made once."""
     start = decode_offset(cursor)
     n = min(limit or default or most, most)
-    got = rows.offset(start).limit(n + 1)
-    more = got.count() > n
-    return Page(got.limit(n), encode_offset(start + n) if more else None, rows.count())
+    rows = rows.persist()
+    try:
+        total = rows.count()
+        got = cut(rows.offset(start).limit(n), "page")
+    finally:
+        rows.unpersist()
+    return Page(got, encode_offset(start + n) if total > start + n else None, total)
 
 
 def evaluations(policy: Policy, edges: DataFrame, items: DataFrame, most: int = 100) -> DataFrame:
-    """Decisions for structured items (req_id, subject struct<type,id>, resource struct<type,id>, action): (req_id, decision boolean, reason)."""
+    """Decisions for structured items (req_id, subject struct<type,id>, resource struct<type,id>, action): (req_id, decision boolean, reason). An item that isn't well formed, or whose check fails, is a denial with its reason and hinders no other."""
     n = items.limit(most + 1).count()
     if not 0 < n <= most:
         raise ValueError(f"between 1 and {most} items are needed")
     joined = lambda c: F.concat_ws(":", F.col(f"{c}.type"), F.col(f"{c}.id"))
     flat = items.select("req_id", joined("subject").alias("subject"), joined("resource").alias("resource"), F.col("action").alias("permission"))
-    return check_batch(policy, edges, flat).select("req_id", (F.col("decision") == "allow").alias("decision"), F.coalesce("error", F.lit("")).alias("reason"))
+    flat = flat.withColumn("bad", request_error())
+    wrong = flat.where("bad is not null").select("req_id", F.lit(False).alias("decision"), F.col("bad").alias("reason"))
+    return wrong.unionByName(check_batch(policy, edges, flat.where("bad is null")).select("req_id", (F.col("decision") == "allow").alias("decision"), F.coalesce("error", F.lit("")).alias("reason")))
+
+
+def audit(decided: DataFrame, requests: DataFrame) -> DataFrame:
+    """One audit event a decision: (req_id, event, subject, resource, permission, outcome, details as JSON)."""
+    rows = requests.join(decided, "req_id")
+    details = F.to_json(F.struct("subject", "resource", "permission", "error"))
+    return rows.select("req_id", F.lit("authorization_check").alias("event"), "subject", "resource", "permission", F.coalesce(F.when(F.col("error").isNotNull(), "error"), F.col("decision")).alias("outcome"), details.alias("details"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..functions.entities import key_order
+from ..functions.entities import encode_cursor, encode_offset, key_order, relationship_error, request_error, start_of
 from ..plans.compile import resolve
 from ..plans.policy import parse
 from ..sources import graph
-from ..sources.store import Tenants, as_of, intervals, matching, read_changes, visible
+from ..sources.shared import shared_dir
+from ..sources.store import Store, Tenants, as_of, intervals, matching, read_changes, visible
+from ..streaming.watch import evaluate, follow, state, summary, watch
 from . import access
 
 POLICY = parse(graph.POLICY)
@@ -50,7 +53,110 @@ def _both_ways(spark, d):
     return all_.join(one.withColumn("shallow", F.lit(True)), "subject", "left").select("subject", F.coalesce("shallow", F.lit(False)).alias("shallow"))
 
 
+#: More rules over the same tuples: a from t, `this` as documented, a predicate, an error on the way.
+MORE = parse(
+    graph.POLICY.replace("relation dual: viewer & editor", 'relation dual: viewer & editor relation above: can_view from parent relation even: viewer & module("even") relation broken: editor | viewer->can_view')
+)
+DOCUMENTED = parse("type order { relation viewer relation editor: this & viewer relation either: editor | viewer }")
+EVEN = {"even": lambda s, r: F.substring_index(s, ":", -1).cast("long") % 2 == 0}
+
+
+def _more(spark, d, permission, policy=MORE, **how):
+    return access.check_batch(policy, graph.stored(spark, d), graph.requests(spark, d, permission), **how)
+
+
+def _store(spark, d):
+    """Writes, deletes and refused writes of a new store, step by step: (step, revision, changed, living)."""
+    tuples = graph.stored(spark, d).where("relation = 'editor'")
+    store, steps = Store(spark, f"{shared_dir(spark)}/edgewise/store-{uuid.uuid4().hex}"), []
+
+    def note(step, done):
+        steps.append((step, done[0], done[1], store.snapshot(1).count()))
+
+    note("write", store.write_counted(1, tuples))
+    note("write again", store.write_counted(1, tuples))
+    note("delete by filter", store.delete(1, subject="user:3", limit=5))
+    store.checkpoint(1)
+    note("delete by filter, all", store.delete(1, subject="user:3"))
+    out = store.delete_request(1, exact=tuples.where("subject IN ('user:3', 'user:4')"))
+    note("delete exact", (out["revision"], out["deleted"]))
+    note("write back", store.write_counted(1, tuples, expected=5))
+    note("before", (store.revision(1), store.snapshot(1, 2).count()))
+    return spark.createDataFrame(steps, "step string, revision long, changed long, living long")
+
+
+def _feed(spark, d):
+    """The change feed of a store, read as a stream."""
+    where = f"{shared_dir(spark)}/edgewise/feed-{uuid.uuid4().hex}"
+    store = Store(spark, f"{where}/store")
+    tuples = graph.stored(spark, d).where("relation = 'editor'")
+    store.write(1, tuples)
+    store.delete(1, subject="user:3")
+    store.write(1, tuples.where("subject = 'user:3'"))
+    take = lambda df: df.select("revision", "operation", "resource", "subject").write.mode("append").parquet(f"{where}/seen")
+    follow(watch(spark, store.path, 1, start_of(encode_cursor(2), store.log_revision(1)), ["order"]), take, f"{where}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{where}/seen")
+
+
+def _streamed(spark, d):
+    """Requests decided as a stream, and their summary."""
+    where = f"{shared_dir(spark)}/edgewise/decided-{uuid.uuid4().hex}"
+    graph.requests(spark, d, "can_edit").repartition(3).write.parquet(f"{where}/requests")
+    asked = spark.readStream.schema("req_id long, resource string, subject string, permission string").option("maxFilesPerTrigger", 2).parquet(f"{where}/requests")
+    evaluate(asked, POLICY, graph.stored(spark, d), f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return summary(spark, f"{where}/out")
+
+
+def _items(spark, d):
+    """Structured items: the first 100 requests, each third without an id of its subject."""
+    r = graph.requests(spark, d, "can_view").where("req_id < 100")
+    entity = lambda c, id_: F.struct(F.substring_index(c, ":", 1).alias("type"), id_.alias("id"))
+    own = F.substring_index("subject", ":", -1)
+    items = r.select("req_id", entity("subject", F.when(F.col("req_id") % 3 == 0, "").otherwise(own)).alias("subject"), entity("resource", F.substring_index("resource", ":", -1)).alias("resource"), F.col("permission").alias("action"))
+    return access.evaluations(POLICY, graph.stored(spark, d), items)
+
+
+def _invalid(spark, d):
+    """What is wrong with tuples made odd on purpose."""
+    x = F.col("event_id")
+    odd = spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id",
+        F.when(x % 11 == 0, "").when(x % 11 == 1, "order").when(x % 11 == 2, "Order:1").when(x % 11 == 3, "order:").otherwise(F.concat(F.lit("order:"), x)).alias("resource"),
+        F.when(x % 13 == 0, "").otherwise("viewer").alias("relation"),
+        F.when(x % 7 == 0, "user:*").when(x % 7 == 1, "Bad:*").when(x % 7 == 2, F.lit(None)).otherwise(F.concat(F.lit("user:"), F.col("user_id"))).alias("subject"),
+    )
+    return odd.select("event_id", F.coalesce(relationship_error(), F.lit("")).alias("error"), F.coalesce(request_error("subject", "resource", "relation"), F.lit("")).alias("request_error"))
+
+
+def _paged(spark, d):
+    got = access.page(access.list_relationships(graph.stored(spark, d), relation="owner"), 50, encode_offset(50))
+    return got.rows.withColumn("cursor", F.lit(got.cursor)).withColumn("total", F.lit(got.total).cast("long"))
+
+
+def _dimension(spark, d):
+    t = spark.read.parquet(f"{d}/nation.parquet").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "CAST(n_regionkey AS BIGINT) AS organization", "n_name AS name")
+    orgs = spark.read.parquet(f"{d}/region.parquet").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "r_name AS name")
+    now = Tenants(orgs, t).with_organization(10, "NEW").with_vault(100, 10, "EMPTY").moved(3, 10).without_vault(4).without(2)
+    return now.vaults.join(now.list_organizations(100).select(F.col("id").alias("organization"), F.col("name").alias("owner")), "organization").select("id", "organization", "name", "owner")
+
+
 QUERIES = {
+    "load_graph": lambda s, d: graph.stored(s, d).groupBy("relation").agg(F.count("*").alias("n")),
+    "check_from_batch": lambda s, d: _more(s, d, "above").select("req_id", "decision"),
+    "check_module_batch": lambda s, d: _more(s, d, "even", modules=EVEN).select("req_id", "decision"),
+    "check_errors_batch": lambda s, d: _more(s, d, "broken").select("req_id", "decision", F.coalesce("error", F.lit("")).alias("error")),
+    "check_this_batch": lambda s, d: _more(s, d, "either", DOCUMENTED, documented=True).select("req_id", "decision"),
+    "evaluations_items": _items,
+    "invalid_tuples": _invalid,
+    "page_relationships": _paged,
+    "store_steps": _store,
+    "watch_stream": _feed,
+    "streaming_evaluate": _streamed,
+    "state_from_log": lambda s, d: state(graph.changes(s, d)).select("resource", "subject"),
+    "tenant_dimensions": _dimension,
+    "audit_outcomes": lambda s, d: access.audit(_more(s, d, "broken"), graph.requests(s, d, "broken")).groupBy("event", "outcome").agg(F.count("*").alias("n")),
+    "exists_any": lambda s, d: graph.requests(s, d, "x").where("req_id < 200").select("resource").distinct().join(graph.stored(s, d).where("relation = 'viewer'").select("resource").distinct(), "resource", "left_semi"),
+    "expand_tree_users": lambda s, d: access.expand_tree(POLICY, graph.stored(s, d), "order:150", "can_view").where("users is not null").select("name", F.explode("users").alias("user")).groupBy("name").agg(F.count("*").alias("n")),
     "rel_scan_filter": lambda s, d: _edges(s, d, relation="owner", subject="user:5"),
     "rel_point_lookup": lambda s, d: _edges(s, d, "nation:3", "parent", "region:1").unionByName(_edges(s, d, "order:50", "viewer")),
     "resources_by_type": lambda s, d: graph.stored(s, d).where(F.col("resource").startswith("customer:")).select("resource").distinct(),
@@ -107,7 +213,41 @@ def _list_sql(user: str, pattern: str) -> str:
 _SHALLOW = "SELECT subject FROM edges WHERE resource = 'order:150' AND relation IN ('viewer', 'editor') UNION SELECT b.subject FROM edges a JOIN edges b ON a.resource = 'order:150' AND a.relation = 'parent' AND b.resource = a.subject AND b.relation = 'can_view'"
 _EXTRA = ", more AS (SELECT * FROM edges UNION VALUES ('customer:1', 'owner', 'user:3'), ('region:0', 'admin', 'user:2'), ('order:4', 'suspended_user', 'user:4'))"
 
+_FIRST = "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 11 = 1 THEN 'order' WHEN event_id % 11 = 2 THEN 'Order:1' WHEN event_id % 11 = 3 THEN 'order:' ELSE 'ok' END"
+_RESOURCE_BAD = "CASE WHEN event_id % 11 = 1 THEN 'resource: no type' WHEN event_id % 11 = 2 THEN 'resource: bad type' WHEN event_id % 11 = 3 THEN 'resource: empty id' END"
+_EDITORS = "editors AS (SELECT * FROM edges WHERE relation = 'editor'), n AS (SELECT count(*) AS every, count(*) FILTER (subject = 'user:3') AS three, count(*) FILTER (subject = 'user:4') AS four FROM editors)"
+_ABOVE = "above AS (SELECT DISTINCT r.req_id FROM requests r JOIN edges e ON e.resource = r.resource AND e.relation = 'parent' JOIN l2 ON l2.resource = e.subject AND (l2.subject = r.subject OR l2.subject = split_part(r.subject, ':', 1) || ':*'))"
+_MORE_CTE = f"{_CTE}, {_HIT.format(edges='edges')}, {_LEVELS.format(edges='edges')}, {_ABOVE}"
+_HAS = lambda rel: f"r.req_id IN (SELECT req_id FROM hits WHERE relation = '{rel}')"
+_DECIDED = lambda text: f"{_MORE_CTE} SELECT r.req_id, CASE WHEN ({text}) AND NOT {_HAS('suspended_user')} THEN 'allow' ELSE 'deny' END AS decision FROM requests r"
+_WRONG = "r.resource IN (SELECT resource FROM edges WHERE relation = 'viewer')"
+_BROKEN = f"""{_MORE_CTE} SELECT r.req_id, CASE WHEN {_HAS('editor')} AND NOT {_WRONG} AND NOT {_HAS('suspended_user')} THEN 'allow' ELSE 'deny' END AS decision,
+  CASE WHEN {_WRONG} AND NOT {_HAS('suspended_user')} THEN 'Type not found: user' ELSE '' END AS error FROM requests r"""
+_VIEW = f"({_HAS('viewer')} OR {_HAS('editor')} OR r.req_id IN (SELECT req_id FROM above))"
+_NODES = [("decision", "can_view", f"{_VIEW} AND NOT {_HAS('suspended_user')}"), ("forbid", "denied", _HAS("suspended_user")), ("reference", "suspended_user", _HAS("suspended_user")), ("permission", "can_view", _VIEW), ("direct", "can_view", "false"), ("union", "can_view", _VIEW), ("reference", "viewer", _HAS("viewer")), ("reference", "can_edit", _HAS("editor")), ("traversal", "can_view", "r.req_id IN (SELECT req_id FROM above)")]
+
 ORACLE_SQL = {
+    "load_graph": f"{_CTE} SELECT relation, count(*) AS n FROM edges GROUP BY 1",
+    "trace_node_counts": f"{_MORE_CTE} " + " UNION ALL ".join(f"SELECT '{k}' AS node_type, '{n}' AS name, count(*) AS n, CAST(count(*) FILTER ({t}) AS BIGINT) AS n_true FROM requests r" for k, n, t in _NODES),
+    "check_from_batch": _DECIDED("r.req_id IN (SELECT req_id FROM above)"),
+    "check_module_batch": _DECIDED(f"{_HAS('viewer')} AND CAST(split_part(r.subject, ':', 2) AS BIGINT) % 2 = 0"),
+    "check_errors_batch": _BROKEN,
+    "check_this_batch": f"{_MORE_CTE} SELECT r.req_id, CASE WHEN {_HAS('viewer')} OR {_HAS('editor')} THEN 'allow' ELSE 'deny' END AS decision FROM requests r",
+    "evaluations_items": f"{_MORE_CTE} SELECT r.req_id, r.req_id % 3 != 0 AND {_VIEW} AND NOT {_HAS('suspended_user')} AS decision, CASE WHEN r.req_id % 3 = 0 THEN 'subject: empty id' ELSE '' END AS reason FROM requests r WHERE r.req_id < 100",
+    "invalid_tuples": f"""SELECT event_id, coalesce(CASE WHEN event_id % 11 = 0 THEN 'resource cannot be empty' WHEN event_id % 13 = 0 THEN 'relation cannot be empty' WHEN event_id % 7 = 2 THEN 'subject cannot be empty' END, {_RESOURCE_BAD}, CASE WHEN event_id % 7 = 1 THEN 'subject: bad wildcard' END, '') AS error,
+      coalesce(CASE WHEN event_id % 7 = 2 THEN 'subject cannot be empty' WHEN event_id % 11 = 0 THEN 'resource cannot be empty' WHEN event_id % 13 = 0 THEN 'permission cannot be empty' WHEN event_id % 7 = 1 THEN 'subject: bad type' END, {_RESOURCE_BAD}, '') AS request_error FROM events""",
+    "page_relationships": f"{_CTE}, owners AS (SELECT * FROM edges WHERE relation = 'owner') SELECT *, CASE WHEN (SELECT count(*) FROM owners) > 100 THEN 'ZAAAAAAAAAA=' END AS cursor, (SELECT count(*) FROM owners) AS total FROM owners ORDER BY concat_ws(':', resource, relation, subject) LIMIT 50 OFFSET 50",
+    "store_steps": f"""{_CTE}, {_EDITORS} SELECT 'write' AS step, 1 AS revision, every AS changed, every AS living FROM n UNION ALL SELECT 'write again', 2, 0, every FROM n
+      UNION ALL SELECT 'delete by filter', 3, least(5, three), every - least(5, three) FROM n UNION ALL SELECT 'delete by filter, all', 4, three - least(5, three), every - three FROM n
+      UNION ALL SELECT 'delete exact', 5, four, every - three - four FROM n UNION ALL SELECT 'write back', 6, three + four, every FROM n UNION ALL SELECT 'before', 6, every, every FROM n""",
+    "watch_stream": f"{_CTE} SELECT v.revision, v.operation, resource, subject FROM edges, (VALUES (2, 'delete'), (3, 'create')) v(revision, operation) WHERE relation = 'editor' AND subject = 'user:3'",
+    "streaming_evaluate": f"SELECT count(*) AS total, count(*) FILTER (decision = 'allow') AS allowed, 0 AS errors, true AS complete FROM ({_DECIDED(_HAS('editor'))})",
+    "state_from_log": f"{_LOG} SELECT resource, subject FROM live WHERE deleted_at IS NULL",
+    "tenant_dimensions": """WITH vaults AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 10 ELSE n_regionkey END AS organization, n_name AS name FROM nation WHERE n_nationkey != 4 UNION ALL SELECT 100, 10, 'EMPTY'),
+      orgs AS (SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 10, 'NEW') SELECT v.id, v.organization, v.name, o.name AS owner FROM vaults v JOIN orgs o ON o.id = v.organization WHERE v.organization != 2""",
+    "audit_outcomes": f"SELECT 'authorization_check' AS event, CASE WHEN error != '' THEN 'error' ELSE decision END AS outcome, count(*) AS n FROM ({_BROKEN}) GROUP BY 1, 2",
+    "exists_any": f"{_CTE} SELECT DISTINCT r.resource FROM requests r WHERE r.req_id < 200 AND EXISTS (SELECT 1 FROM edges e WHERE e.resource = r.resource AND e.relation = 'viewer')",
+    "expand_tree_users": f"{_CTE} SELECT relation AS name, count(*) AS n FROM edges WHERE resource = 'order:150' AND relation IN ('viewer', 'editor') GROUP BY 1",
     "rel_scan_filter": f"{_CTE} SELECT * FROM edges WHERE relation = 'owner' AND subject = 'user:5'",
     "rel_point_lookup": f"{_CTE} SELECT * FROM edges WHERE (resource = 'nation:3' AND relation = 'parent' AND subject = 'region:1') OR (resource = 'order:50' AND relation = 'viewer')",
     "resources_by_type": f"{_CTE} SELECT DISTINCT resource FROM edges WHERE resource LIKE 'customer:%'",

@@ -86,3 +86,66 @@ def test_store_and_watch(spark, tmp_path):
     follow(watch(spark, store.path, 1, 2, ["doc"]), lambda df: seen.extend((r.revision, r.operation) for r in df.collect()), str(tmp_path / "c")).awaitTermination()
     assert sorted(seen) == [(3, "delete"), (4, "create")]
     assert '"operation":"create"' in rendered(store.log(1).where("revision = 4")).first().event
+
+
+def test_errors_come_through_recursion(spark):
+    policy = 'type folder { relation parent relation owner relation view: owner | parent->view | module("missing") }'
+    edges = [("folder:1", "parent", "folder:2"), ("folder:2", "parent", "folder:1"), ("folder:2", "owner", "user:a"), ("folder:1", "view", "user:b")]
+    got = decide(spark, policy, edges, [("user:a", "folder:1", "view"), ("user:b", "folder:1", "view"), ("user:c", "folder:2", "view")])
+    assert got == {0: "Module not found: missing", 1: "allow", 2: "Module not found: missing"}
+    # A relation of the same name on another type, right of -, is no recursion.
+    policy = "type a { relation x: b_of->y relation b_of relation z relation y: z - x }  type b { relation y }"
+    assert decide(spark, policy, [("a:1", "b_of", "b:1"), ("b:1", "y", "user:1"), ("a:1", "z", "user:1"), ("a:1", "z", "user:2")], [("user:1", "a:1", "y"), ("user:2", "a:1", "y")]) == {0: "deny", 1: "allow"}
+    # One circle that reads another.
+    policy = "type f { relation up relation own relation b: own | up->b relation a: b | up->a }"
+    assert decide(spark, policy, [("f:1", "up", "f:2"), ("f:2", "up", "f:3"), ("f:3", "own", "user:1")], [("user:1", "f:1", "a"), ("user:2", "f:1", "a")]) == {0: "allow", 1: "deny"}
+
+
+def test_one_check_raises_its_error(spark):
+    e = spark.createDataFrame([("doc:1", "reader", "user:a")], EDGES)
+    policy = parse("type doc { relation reader forbid no: banned relation banned }")
+    assert access.check(policy, e, "user:a", "doc:1", "reader") == "allow"
+    with pytest.raises(ValueError, match="Relation not found: writer"):
+        access.check(policy, e, "user:a", "doc:1", "writer")
+
+
+def test_two_writers_get_two_revisions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    row = spark.createDataFrame([("doc:1", "viewer", "user:a")], EDGES)
+    other = Store(spark, store.path)
+    real = store._create
+
+    def late(file, text):  # another writer is faster, once
+        store._create = real
+        other.write(1, spark.createDataFrame([("doc:2", "viewer", "user:b")], EDGES))
+        return real(file, text)
+
+    store._create = late
+    assert store.write(1, row) == 2 and store.snapshot(1).count() == 2 and store.snapshot(1, 1).count() == 1
+    store._create = late
+    with pytest.raises(RevisionMismatch):
+        store.write(1, spark.createDataFrame([("doc:3", "viewer", "user:a")], EDGES), expected=2)
+    assert store.snapshot(1).count() == 2 and store.revision(1) == 3
+    with pytest.raises(ValueError):
+        store.write(1, spark.createDataFrame([("doc", "viewer", "user:a")], EDGES))
+    store.checkpoint(1)
+    assert store.delete_request(1, exact=row) == {"revision": 4, "requested": 1, "deleted": 1}
+    assert [store.snapshot(1, r).count() for r in (1, 2, 3, 4)] == [1, 2, 2, 1]
+
+
+def test_cursors_and_streams(spark, tmp_path):
+    from edgewise.functions.entities import encode_cursor, start_of
+    from edgewise.streaming.watch import live_state, stream_resources
+
+    assert [start_of(c, 7) for c in (None, "", encode_cursor(3))] == [8, 0, 3] and start_of(None, 7, replay_head=True) == 7
+    policy = parse("type doc { relation reader }")
+    e = spark.createDataFrame([("doc:1", "reader", "user:a"), ("doc:2", "reader", "user:a")], EDGES)
+    assert list(stream_resources(policy, e, "user:a", "doc", "reader")) == [{"resource": "doc:1"}, {"resource": "doc:2"}, {"total": 2, "complete": True}]
+    schema = "revision long, operation string, resource string, relation string, subject string"
+    log = str(tmp_path / "log")
+    source = lambda: spark.readStream.schema(schema).parquet(log)
+    for rows in ([(1, "create", "doc:1", "r", "user:a"), (2, "create", "doc:2", "r", "user:a")], [(3, "delete", "doc:1", "r", "user:a")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(log)
+        live_state(source(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("resource").agg({"revision": "max"}).collect()
+    assert dict(map(tuple, got)) == {"doc:1": 3, "doc:2": 2}
