@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: The key of the surrogates; whoever doesn't know it can't tell which entity a surrogate stands for. Replace it in production.
+#: The key that the registered queries use, so that their results can be compared. Whoever doesn't know the key can't tell which entity
+#: a surrogate stands for, so replace_pii() has no default: pass a secret of your own, or set it in the session.
 KEY = "edgewise"
+KEY_SETTING = "spark.edgewise.pii.key"
+#: Country calling codes of one and two digits; all others have three. Fixed values.
+_CALLING = r"^\+?(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Attempts after which the space that surrogates are drawn from grows with each attempt.
 NARROW = 2
 
@@ -49,9 +53,10 @@ def kind_of(entity: Column) -> Column:
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    """What mentions of the same entity have in common: digits of numbers, the address in small letters. Names have parts."""
+    """What mentions of the same entity have in common: digits of numbers (and the + of phones), the address in small letters. Names have parts."""
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", ""))
+        F.when(kind == "phone", F.regexp_replace(entity, r"[^+\d]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(entity, r"\D", ""))
         .when(kind == "email", F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .otherwise(entity)
@@ -123,8 +128,9 @@ def _drawn(kind: Column, entity: Column, norm: Column, stream: Column, extra: Co
         put = lambda d, after: spelled(text, lambda c, i, t: F.when(c.rlike(r"\d") & (nth(t, i) > after), F.substring(d, nth(t, i), F.lit(1))).otherwise(c))
         return _let(drawn, lambda d: _let(first, lambda after: put(d, after)))
 
-    drawn = spelled(norm, lambda c, i, t: F.when(c.rlike("[0-9]"), _pick(_DIGITS, byte(i))).otherwise(c))
-    country = F.length(F.regexp_replace(F.regexp_extract(entity, r"^\+(\d{1,3})[ .-]", 1), r"\D", ""))
+    drawn = spelled(F.regexp_replace(norm, r"^\+", ""), lambda c, i, t: F.when(c.rlike("[0-9]"), _pick(_DIGITS, byte(i))).otherwise(c))
+    code = F.regexp_extract(norm, _CALLING, 1)
+    country = F.when(~norm.startswith("+"), 0).when(code == "", 3).otherwise(F.length(code))
     sound = _luhn(F.substring(norm, F.lit(1), F.length(norm) - 1)) == F.substring(norm, -1, 1)
 
     def card(d: Column) -> Column:
@@ -174,35 +180,53 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
         now = cut(now, "entities")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with text free of the entities that PATTERNS finds, and n_entities (mentions replaced; a column of that name is replaced).
 
-    Texts without any are passed on as they are, without a shuffle. Of the others the mentions are joined with the attempts of their
-    entities and come back to their document as one map, whose surrogates are set between the pieces of the text. The
-    same entity gets the same surrogate in all documents, and different entities different ones. Null texts stay null
-    (n_entities 0). Rows stay as many; rows with the same id and text get the same text. An empty table gives an empty table.
+    key: the secret that surrogates are drawn with; without it that of the session (KEY_SETTING); without either an error.
+    The pattern is looked for once in each text, whose mentions are written beside it. Texts without any are passed on as
+    they are, without a shuffle. Of the others the mentions are joined with the attempts of their entities and come back to
+    their document as one map, whose surrogates are set between the pieces of the text. Where a text names someone with
+    title, first name and surname, the same first name and surname without a title are replaced in it too. The same entity
+    gets the same surrogate in all documents, and different entities different ones. Null texts stay null (n_entities 0).
+    Rows stay as many; rows with the same id and text get the same text. An empty table gives an empty table.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"a key is needed: pass one or set {KEY_SETTING}")
     docs = docs.drop("n_entities")
     columns = docs.columns
     # Everything that is looked for holds a digit, an at sign, or a title; the cheap test keeps the long pattern from most texts.
-    may = F.coalesce(F.col("text").rlike(rf"[0-9@]|password=|(?:{_MALE}|{_FEMALE})\.? ") & F.col("text").rlike(ANY), F.lit(False))
-    clean = docs.where(~may).withColumn("n_entities", F.lit(0).cast("long"))
+    cheap = F.coalesce(F.col("text").rlike(rf"[0-9@]|password=|(?:{_MALE}|{_FEMALE})\.? "), F.lit(False))
+    marked = cut(docs.withColumn("__names", F.when(cheap, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))), "marked")
+    clean = marked.where(F.size("__names") == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"))
     row = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
-    found = docs.where(may).select(row.alias("row"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("entity"))
+    dirty = marked.where(F.size("__names") > 0).withColumn("__row", row)
+    found = dirty.select(F.col("__row").alias("row"), F.explode(F.array_distinct("__names")).alias("entity"))
     found = found.withColumn("kind", kind_of(F.col("entity")))
     found = cut(found.select("row", "entity", F.posexplode(parts(F.col("kind"), F.col("entity"))).alias("at", "part")).select("row", "entity", "at", "part.*"), "mentions")
     tries = attempts(found, key)
     mapped = found.join(tries, ["kind", "norm"]).select("row", "entity", "at", "kind", surrogate(F.col("kind"), F.col("entity"), F.col("norm"), F.col("attempt"), key).alias("s"))
     title = F.when(F.first("kind").isin("first", "surname"), F.regexp_extract("entity", r"^(\S+ )", 1)).otherwise("")
     whole = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "s"))), lambda x: x["s"]), " ")
-    mapped = mapped.groupBy("row", "entity").agg(F.concat(title, whole).alias("s"))
-    maps = mapped.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "s"))).alias("_map")).withColumnRenamed("row", "_row")
-    dirty = docs.where(may).withColumn("_row", row).join(maps, "_row")
-    gaps, names = F.split("text", ANY, -1), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    text = F.array_join(F.zip_with(gaps, names, lambda g, e: F.concat(g, F.coalesce(F.col("_map")[e], F.lit("")))), "")
-    dirty = dirty.withColumn("n_entities", F.size(names).cast("long")).withColumn("text", text)
-    return clean.unionByName(dirty.select(*columns, "n_entities"))
+    mapped = mapped.groupBy("row", "entity").agg(title.alias("title"), whole.alias("s"), (F.countDistinct("at") > 1).alias("full"))
+    bare = F.struct(F.regexp_extract("entity", r"^\S+ (.*)$", 1).alias("k"), F.col("s").alias("v"))
+    maps = mapped.groupBy("row").agg(
+        F.map_from_entries(F.collect_set(F.struct("entity", F.concat("title", "s")))).alias("__map"),
+        # One name with titles of both genders has two forms; the smaller one stands for the bare name.
+        F.array_sort(F.collect_set(F.when(F.col("full"), bare))).alias("__bare"),
+    )
+    maps = maps.withColumn("__bare", F.map_from_entries(F.filter("__bare", lambda x, i: (i == 0) | (F.get("__bare", i - 1)["k"] != x["k"]))))
+    dirty = dirty.join(maps.withColumnRenamed("row", "__row"), "__row")
+    put = lambda gaps, names, by: F.array_join(F.zip_with(gaps, names, lambda g, e: F.concat(g, F.coalesce(by[e], F.lit("")))), "")
+    dirty = dirty.withColumn("text", put(F.split("text", ANY, -1), F.col("__names"), F.col("__map")))
+    quoted = F.transform(F.map_keys("__bare"), lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E")))
+    again = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}]|[-‐‑'’]\p{L})"))
+    some = F.size("__bare") > 0
+    dirty = dirty.withColumn("__more", F.when(some, F.regexp_extract_all("text", again, F.lit(0))).otherwise(F.array().cast("array<string>")))
+    dirty = dirty.withColumn("text", F.when(F.size("__more") > 0, put(F.split("text", again, -1), F.col("__more"), F.col("__bare"))).otherwise(F.col("text")))
+    return clean.unionByName(dirty.select(*columns, (F.size("__names") + F.size("__more")).cast("long").alias("n_entities")))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_entities", "text")
+    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), KEY).select("doc_id", "n_entities", "text")

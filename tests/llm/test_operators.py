@@ -333,6 +333,38 @@ def test_pii_names_in_parts_and_masked_secrets(spark):
     assert out[2].text == f"Mr. {surname}'s and Mrs {surname}"
 
 
+def test_pii_formats_titles_and_bare_names(spark):
+    """Mentions of one entity agree whatever their format; other entities differ; nothing found stays."""
+    import re
+
+    r = random.Random(2)
+    numbers = [f"{c}{r.randint(10**8, 10**9 - 1)}" for c in ("49", "44", "7", "1", "353") for _ in range(40)]
+    styles = [lambda n: "+" + n, lambda n: f"+{n[:2]} {n[2:5]} {n[5:]}" if n[:2] in ("49", "44") else "+" + n, lambda n: f"+{n[:-8]}-{n[-8:-4]}-{n[-4:]}"]
+    rows = [(i, " and ".join(style(n) for style in styles)) for i, n in enumerate(numbers)]
+    rows += [(1000, "Mrs. Anna Smith came. Anna Smith left; Anna Smithson and Anna Smith-Jones stayed. Mr John Smith, Mister John Smith"), (1001, "Anna Smith alone"), (1002, None), (1003, "Mrs. Anna Smith"), (1003, "Mrs. Anna Smith")]
+    out = {}
+    for x in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        out.setdefault(x.doc_id, []).append(x)
+    written = {}
+    for i, n in enumerate(numbers):
+        forms = {re.sub(r"\D", "", t) for t in out[i][0].text.split(" and ")}
+        assert len(forms) == 1 and out[i][0].n_entities == 3, out[i]
+        written[n] = forms.pop()
+        assert written[n][: len(n) - 9] == n[: len(n) - 9] and len(written[n]) == len(n)
+    assert len(set(written.values())) == len(set(numbers)) and not set(written.values()) & set(numbers)
+    text = out[1000][0].text
+    name = re.match(r"Mrs\. (\S+ \S+) came\. (\S+ \S+) left; Anna Smithson and Anna Smith-Jones stayed\. Mr (\S+ \S+), Mister (\S+ \S+)$", text)
+    assert name and name[1] == name[2] and name[3] == name[4] and name[1].split()[1] == name[3].split()[1] and out[1000][0].n_entities == 4
+    assert out[1001][0].text == "Anna Smith alone" and out[1002][0].text is None
+    assert len(out[1003]) == 2 and {x.text for x in out[1003]} == {f"Mrs. {name[1]}"}
+    with pytest.raises(ValueError):
+        spark.conf.unset(pii.KEY_SETTING)
+        try:
+            pii.replace_pii(spark.createDataFrame(rows[:1], "doc_id long, text string"))
+        finally:
+            spark.conf.set(pii.KEY_SETTING, "a key for tests")
+
+
 def test_pii_space_grows_until_collisions_end(spark):
     from pyspark.sql import functions as F
 
