@@ -17,8 +17,10 @@ SHINGLE = 3
 MOST_BITS = 3
 #: Reference fingerprints whose distances are tabled.
 PIVOTS = 16
-#: Two of so many segments agree in any two fingerprints that differ in MOST_BITS bits.
-SEGMENTS = MOST_BITS + 2
+#: What the dedup stage looks for: similarity of the sets of so many words in a row, among fingerprints of them that differ in so many bits at most.
+STAGE_SHINGLE, STAGE_BITS, SIMILAR = 5, 10, 0.8
+#: Up to so many distinct fingerprints meet in buckets of two segments, more in buckets of three (the same pairs, of which each bucket holds fewer).
+TWO_SEGMENTS = 1 << 20
 #: A bucket of more fingerprints is compared in chunks of so many, pair of chunks by pair of chunks.
 CHUNK = 512
 
@@ -39,16 +41,16 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(values)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([simhash(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
-
-
-def fingerprints(docs: DataFrame, key: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str | None = None, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp), and the text column key if there is one: fp is the fingerprint's 64 bits as a long. A null text is empty; repeated rows stay."""
     more = [key] if key else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *more).mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", {c} string" for c in more))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} string" for c in more))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -56,11 +58,15 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
 
 
 def links_within(group: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of rows with the same group, and different parts where the group has two, whose fingerprints differ in at most `most` bits. Rows are sorted by group.
+    """Indices of the pairs of rows with the same group, and different parts where the group has two, whose fingerprints differ in at most `most` bits.
 
-    |d(x, p) - d(y, p)| <= d(x, y) for every pivot p, so a pair whose tabled distances differ by more than `most` at any pivot is dropped before its fingerprints are looked at.
+    |d(x, p) - d(y, p)| <= d(x, y) for every pivot p. A group is put in the order of the distance to the first pivot, and
+    a row meets only those after it whose distance is at most `most` larger; a pair whose tabled distances differ by more
+    at any other pivot is dropped before its fingerprints are looked at.
     """
     table = np.stack([np.bitwise_count(fp ^ p) for p in pivots()], axis=1).astype(np.int8)
+    order = np.lexsort((table[:, 0], group))
+    group, part, fp, table = group[order], part[order], fp[order], table[order]
     two = np.zeros(len(fp), bool)
     if len(fp):
         first = np.r_[True, group[1:] != group[:-1]]
@@ -74,50 +80,65 @@ def links_within(group: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int
     while len(at):
         step += 1
         at = at[at + step < len(fp)]
-        at = at[group[at] == group[at + step]]
+        at = at[(group[at] == group[at + step]) & (table[at + step, 0] - table[at, 0] <= most)]
         a, b = at, at + step
         wanted = ~two[a] | (part[a] != part[b])
         a, b = a[wanted], b[wanted]
-        for lo in range(0, table.shape[1], 4):
-            near = np.abs(table[a, lo : lo + 4] - table[b, lo : lo + 4]).max(axis=1, initial=0) <= most
+        for lo in range(1, table.shape[1], 5):
+            near = np.abs(table[a, lo : lo + 5] - table[b, lo : lo + 5]).max(axis=1, initial=0) <= most
             a, b = a[near], b[near]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= most
         found_a.append(a[near])
         found_b.append(b[near])
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, int), np.zeros(0, int))
+    return (order[np.concatenate(found_a)], order[np.concatenate(found_b)]) if found_a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _join(table: pa.Table) -> pa.Table:
+def _forest(table: pa.Table) -> pa.Table:
     """Rows (bucket, part, fp) of many groups: links of each fingerprint to the first of those it is joined with."""
-    group, part = table["bucket"].to_numpy(), table["part"].to_numpy()
     fp = table["fp"].to_numpy().view(np.uint64)
-    order = np.lexsort((fp, group))
-    group, part, fp = group[order], part[order], fp[order]
-    a, b = links_within(group, part, fp)
+    a, b = links_within(table["bucket"].to_numpy(), table["part"].to_numpy(), fp)
     nodes, inverse = np.unique(fp, return_inverse=True)
     label = local_forest(inverse[a], inverse[b], len(nodes))
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return pa.table({"u": nodes[moved].view(np.int64), "v": nodes[label[moved]].view(np.int64)})
 
 
-def _segments() -> list[int]:
-    """Masks of every choice of SEGMENTS - MOST_BITS segments; two near fingerprints agree in all bits of one of them."""
-    width = [64 * i // SEGMENTS for i in range(SEGMENTS + 1)]
+def _nearest(table: pa.Table, most: int) -> pa.Table:
+    """Rows (bucket, part, fp) of many groups: for each fingerprint the nearest smaller and the nearest larger one that it links with (u, v, bits)."""
+    fp = table["fp"].to_numpy().view(np.uint64)
+    a, b = links_within(table["bucket"].to_numpy(), table["part"].to_numpy(), fp, most)
+    nodes, inverse = np.unique(fp, return_inverse=True)
+    bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+    low, high = np.minimum(inverse[a], inverse[b]), np.maximum(inverse[a], inverse[b])
+    out = ([], [], [])
+    for of, other in ((low, high), (high, low)):
+        best = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(best, of, bits * len(nodes) + other)
+        some = np.flatnonzero(best < np.iinfo(np.int64).max)
+        for into, x in zip(out, (nodes[some].view(np.int64), nodes[best[some] % max(1, len(nodes))].view(np.int64), best[some] // max(1, len(nodes)))):
+            into.append(x)
+    return pa.table({"u": np.concatenate(out[0]), "v": np.concatenate(out[1]), "bits": np.concatenate(out[2])})
+
+
+def _segments(most: int = MOST_BITS, agree: int = 2) -> list[int]:
+    """Masks of every choice of `agree` among most + agree segments; fingerprints that differ in at most `most` bits agree in all bits of one of them."""
+    n = most + agree
+    width = [64 * i // n for i in range(n + 1)]
     one = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(width, width[1:])]
-    masks = [sum(one[i] for i in chosen) for chosen in combinations(range(SEGMENTS), SEGMENTS - MOST_BITS)]
+    masks = [sum(chosen) for chosen in combinations(one, agree)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def clusters(fps: DataFrame) -> DataFrame:
-    """(fp, component): component is the fingerprint that stands for all that fp reaches over links of 3 or fewer bits; those without a link to another are left out.
+def _met(fps: DataFrame, most: int, join, schema: str) -> DataFrame:
+    """What join(rows) makes of the distinct fingerprints that agree in some choice of segments (see _segments), bucket by bucket.
 
-    Equal fingerprints are one node. Two that differ in at most 3 bits agree in two of five segments, so each distinct
-    fingerprint goes to the ten buckets of its pairs of segments, and pairs meet in a bucket. Buckets of one are dropped.
-    Large buckets are dealt out in chunks, each pair of chunks to a task of its own; a task emits a forest, not pairs.
+    Each distinct fingerprint goes to the buckets of its choices of segments, and pairs meet in a bucket. Buckets of one are
+    dropped. Large buckets are dealt out in chunks, each pair of chunks to a task of its own.
     """
     spark = fps.sparkSession
-    nodes = fps.where("fp is not null").select("fp").distinct()
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _segments()])).alias("t", "key"))
+    nodes = cut(fps.where("fp is not null").select("fp").distinct(), "distinct")
+    agree = 2 if most <= MOST_BITS or nodes.count() <= TWO_SEGMENTS else 3
+    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _segments(most, agree)])).alias("t", "key"))
     keyed = cut(keyed.select("fp", F.xxhash64("t", "key").alias("bucket")), "buckets")
     many = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -128,7 +149,15 @@ def clusters(fps: DataFrame) -> DataFrame:
         .select("fp", "part", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
     )
     slices = 4 * partitions(spark)
-    edges = dealt.groupBy(F.pmod("bucket", F.lit(slices)).alias("slice")).applyInArrow(lambda t: _join(t), "u long, v long")
+    return dealt.groupBy(F.pmod("bucket", F.lit(slices)).alias("slice")).applyInArrow(join, schema)
+
+
+def clusters(fps: DataFrame) -> DataFrame:
+    """(fp, component): component is the fingerprint that stands for all that fp reaches over links of 3 or fewer bits; those without a link to another are left out.
+
+    Equal fingerprints are one node. A task emits a forest, not pairs.
+    """
+    edges = _met(fps, MOST_BITS, lambda t: _forest(t), "u long, v long")
     return components(edges).select(F.col("node").alias("fp"), "component")
 
 
@@ -146,16 +175,66 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(linked.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each group of near duplicates. Columns stay as they are.
+def shingles(text: str, n: int = STAGE_SHINGLE) -> set[bytes]:
+    """The sets that are compared: n words in a row, A-Z in small letters; fewer words are one shingle, none is none."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def _similar(least: float, n: int):
+    """Rows (u, v, a, b): those of which the texts a and b are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, left, keep = None, set(), []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                if (text := a.as_py()) != last:  # rows that share a come together
+                    last, left = text, shingles(text, n)
+                right = shingles(b.as_py(), n)
+                both = len(left & right)
+                keep.append(left == right or both >= least * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    return run
+
+
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, most: int = STAGE_BITS, similar: float = SIMILAR) -> DataFrame:
+    """(_row, doc_id, node, component) for docs with a column _row that tells rows apart: node stands for the row's text, component for all texts it reaches over links.
+
+    Candidates are texts with equal fingerprints of `shingle` words, and of each fingerprint the nearest smaller and the
+    nearest larger one among those that differ in at most `most` bits; a candidate is a link if the Jaccard similarity of
+    the shingle sets is at least `similar`, exactly. So each text costs a few comparisons, whatever the size of its group.
+    """
+    fps = fingerprints(docs.withColumn("__key", F.concat_ws(",", "_row", F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))), "__key", shingle)
+    of = F.split("__key", ",")
+    fps = cut(fps.select("doc_id", "fp", of[0].alias("_row"), of[1].cast("long").alias("node")), "fingerprints")
+    texts = fps.groupBy("fp", "node").agg(F.min("_row").alias("_row"))
+    first = texts.groupBy("fp").agg(F.min("node").alias("first"))
+    alike = texts.join(first, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = _met(fps, most, lambda t: _nearest(t, most), "u long, v long, bits long")
+    near = near.groupBy("u", (F.col("v") < F.col("u")).alias("side")).agg(F.min(F.struct("bits", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    asked = cut(alike.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "asked")
+    some = asked.select(F.col("u").alias("node")).unionByName(asked.select(F.col("v").alias("node"))).distinct()
+    text = docs.select("_row", F.coalesce("text", F.lit("")).alias("text")).join(texts.join(some, "node").select("_row", "node"), "_row").dropDuplicates(["node"]).select("node", "text")
+    text = cut(text, "texts", "zstd")
+    pairs = asked.join(text.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    links = pairs.select("u", "v", "a", "b").mapInArrow(_similar(similar, shingle), "u long, v long")
+    reached = cut(components(links), "similar")
+    return fps.join(reached, "node", "left").select("_row", "doc_id", "node", F.coalesce("component", "node").alias("component"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, most: int = STAGE_BITS, similar: float = SIMILAR) -> DataFrame:
+    """docs without all but one row of each group of near duplicates (see similar_texts). Columns stay as they are.
 
     The row with the smallest doc_id stays (null ids come last; of rows with the same id, that with the smallest key of all
-    its columns). Rows are told apart by that key, not by doc_id, so null or repeated ids cost no text of another group.
+    its columns). Rows are told apart by that key, not by doc_id, so null or repeated ids cost no text of another group;
+    rows that agree in all columns are one. Null and blank texts are near duplicates of each other. An empty table gives an
+    empty table. What is lost of recall: texts more similar than asked for whose fingerprints differ in more bits.
     """
     keyed = docs.withColumn("_row", row_key(docs.columns))
-    fps = cut(fingerprints(keyed, "_row"), "fingerprints")
-    linked = fps.join(cut(clusters(fps), "clusters"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    keep = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x")).select("x._row")
+    linked = similar_texts(keyed, shingle, most, similar)
+    keep = cut(linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x")).select("x._row"), "keep")
     return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 

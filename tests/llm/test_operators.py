@@ -107,6 +107,36 @@ def test_near_dedup_tells_rows_apart_without_ids(spark):
     assert {r for r in got if r[1] in BASE[4:7]} == {(7, BASE[4], "a"), (7, BASE[5], "b"), (9, BASE[6], "d")}
 
 
+def test_near_dedup_verifies_similarity(spark):
+    """Kept texts against plain Python: groups of edited copies leave one; texts under 0.8 stay, however near their fingerprints."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(900)]
+    rows = []
+    for g in range(25):
+        base = r.choices(vocabulary, k=120)
+        for c in range(4):
+            w = list(base)
+            for _ in range(c % 2):
+                w[r.randrange(len(w))] = "EDITED"
+            rows.append((len(rows), " ".join(w), g))
+    half = r.choices(vocabulary, k=60)
+    rows += [(len(rows) + i, " ".join(half + r.choices(vocabulary, k=60)), 100 + i) for i in range(4)]
+    rows += [(None, None, -1), (500, "", -1), (501, " \t", -1), (502, "one", -2), (503, "ONE", -2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int").repartition(3)
+    kept = [tuple(x) for x in simhash.drop_near_duplicates(df).collect()]
+    assert simhash.drop_near_duplicates(df).columns == df.columns
+    text = [simhash.shingles(x[1] or "") for x in rows]
+    fp = [simhash.simhash((x[1] or "").encode(), 5) for x in rows]
+    part = list(range(len(rows)))
+    for _ in rows:
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if (fp[i] ^ fp[j]).bit_count() <= simhash.STAGE_BITS and (text[i] == text[j] or len(text[i] & text[j]) / len(text[i] | text[j]) >= 0.8):
+                part[i] = part[j] = min(part[i], part[j])
+    want = {min((rows[i][0] is None, rows[i][0]) for i in range(len(rows)) if part[i] == p)[1] for p in set(part)}
+    assert {k[0] for k in kept} == want and len(kept) == len(want) and {100, 101, 102, 103, 500, 502} <= want and len(want) <= 33
+    assert simhash.drop_near_duplicates(df.where("doc_id < 0")).count() == 0
+
+
 def test_simhash_buckets_find_all_near_pairs():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
