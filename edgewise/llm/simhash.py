@@ -103,10 +103,17 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"u": nodes[moved].view(np.int64), "v": nodes[label[moved]].view(np.int64)})
 
 
-def _nearest(table: pa.Table, most: int) -> pa.Table:
-    """Rows (bucket, part, fp) of many groups: for each fingerprint the nearest smaller and the nearest larger one that it links with (u, v, bits)."""
-    fp = table["fp"].to_numpy().view(np.uint64)
+def _nearest(table: pa.Table, most: int, masks: list[int]) -> pa.Table:
+    """Rows (bucket, part, fp, t) of many groups: for each fingerprint the nearest smaller and the nearest larger one that it links with (u, v, bits).
+
+    A pair that meets in several buckets counts in that of the first mask it agrees in, so it is reported once.
+    """
+    fp, t = table["fp"].to_numpy().view(np.uint64), table["t"].to_numpy()
     a, b = links_within(table["bucket"].to_numpy(), table["part"].to_numpy(), fp, most)
+    own = np.ones(len(a), bool)
+    for i, m in enumerate(masks[: int(t.max(initial=0))]):
+        own &= (i >= t[a]) | ((fp[a] ^ fp[b]) & np.uint64(m & (1 << 64) - 1) != 0)
+    a, b = a[own], b[own]
     nodes, inverse = np.unique(fp, return_inverse=True)
     bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
     low, high = np.minimum(inverse[a], inverse[b]), np.maximum(inverse[a], inverse[b])
@@ -130,7 +137,7 @@ def _segments(most: int = MOST_BITS, agree: int = 2) -> list[int]:
 
 
 def _met(fps: DataFrame, most: int, join, schema: str) -> DataFrame:
-    """What join(rows) makes of the distinct fingerprints that agree in some choice of segments (see _segments), bucket by bucket.
+    """What join(rows, masks) makes of the distinct fingerprints that agree in some choice of segments (see _segments), bucket by bucket.
 
     Each distinct fingerprint goes to the buckets of its choices of segments, and pairs meet in a bucket. Buckets of one are
     dropped. Large buckets are dealt out in chunks, each pair of chunks to a task of its own.
@@ -138,18 +145,19 @@ def _met(fps: DataFrame, most: int, join, schema: str) -> DataFrame:
     spark = fps.sparkSession
     nodes = cut(fps.where("fp is not null").select("fp").distinct(), "distinct")
     agree = 2 if most <= MOST_BITS or nodes.count() <= TWO_SEGMENTS else 3
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _segments(most, agree)])).alias("t", "key"))
-    keyed = cut(keyed.select("fp", F.xxhash64("t", "key").alias("bucket")), "buckets")
+    masks = _segments(most, agree)
+    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    keyed = cut(keyed.select("fp", "t", F.xxhash64("t", "key").alias("bucket")), "buckets")
     many = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = (
         keyed.join(many, "bucket")
-        .select("fp", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int").alias("part"))
-        .select("fp", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("fp", "part", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
+        .select("fp", "t", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int").alias("part"))
+        .select("fp", "t", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("fp", "t", "part", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
     )
     slices = 4 * partitions(spark)
-    return dealt.groupBy(F.pmod("bucket", F.lit(slices)).alias("slice")).applyInArrow(join, schema)
+    return dealt.groupBy(F.pmod("bucket", F.lit(slices)).alias("slice")).applyInArrow(lambda rows: join(rows, masks), schema)
 
 
 def clusters(fps: DataFrame) -> DataFrame:
@@ -157,7 +165,7 @@ def clusters(fps: DataFrame) -> DataFrame:
 
     Equal fingerprints are one node. A task emits a forest, not pairs.
     """
-    edges = _met(fps, MOST_BITS, lambda t: _forest(t), "u long, v long")
+    edges = _met(fps, MOST_BITS, lambda rows, _: _forest(rows), "u long, v long")
     return components(edges).select(F.col("node").alias("fp"), "component")
 
 
@@ -211,7 +219,7 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, most: int = STA
     texts = fps.groupBy("fp", "node").agg(F.min("_row").alias("_row"))
     first = texts.groupBy("fp").agg(F.min("node").alias("first"))
     alike = texts.join(first, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    near = _met(fps, most, lambda t: _nearest(t, most), "u long, v long, bits long")
+    near = _met(fps, most, lambda rows, masks: _nearest(rows, most, masks), "u long, v long, bits long")
     near = near.groupBy("u", (F.col("v") < F.col("u")).alias("side")).agg(F.min(F.struct("bits", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
     near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     asked = cut(alike.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "asked")
