@@ -16,9 +16,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a folder of this machine."""
+    """The folder in spark.checkpoint.dir. Where that is unset in local mode, as in tests, a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="edgewise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

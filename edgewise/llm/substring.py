@@ -83,28 +83,39 @@ class Windows:
         turn = np.flatnonzero(self.fp[1:] != self.fp[:-1])
         return np.r_[0, turn + 1], np.r_[turn, self.n - 1]
 
+    def each(self) -> np.ndarray:
+        """The hash of each window."""
+        at = np.arange(self.n)
+        return self.hashes(at, at + self.window)
+
     def repeated_here(self) -> np.ndarray:
         """Whether each window's words start elsewhere in the document too."""
-        at = np.arange(self.n)
-        own = self.hashes(at, at + self.window)
+        own = self.each()
         inorder = np.sort(own)
         twice = inorder[1:][inorder[1:] == inorder[:-1]]
         return np.isin(own, twice) if len(twice) else np.zeros(self.n, bool)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[pa.RecordBatch]:
     hashed = Words()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
-            part, out = batch.slice(lo, 500), ([], [], [], [])
+            part, out, inside = batch.slice(lo, 500), ([], [], [], []), []
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 w = Windows(hashed(text.split()))
                 if w.n:
                     first, last = w.runs()
                     for into, x in zip(out, (w.fp[first], w.hashes(first, last + WINDOW), np.full(len(first), key), (first << 32) | last)):
                         into.append(x)
+                    if windows:
+                        own = w.each()
+                        inside += [own[f : t + 1].tobytes() for f, t in zip(first, last)]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in out], names=["fp", "run", "key", "span"])
+                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in out]
+                names = ["fp", "run", "key", "span"]
+                if windows:
+                    columns, names = [*columns, pa.array(inside, pa.binary())], [*names, "windows"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def keyed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -113,58 +124,107 @@ def keyed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("bucket"), key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
 
 
-def run_fingerprints(keyed_docs: DataFrame) -> DataFrame:
-    """(fp, run, key, span): for each run of windows filed under the same fp, the hash of all its words and its first and last window."""
-    return keyed_docs.select("key", "text").mapInArrow(_runs, "fp long, run long, key long, span long")
+def run_fingerprints(keyed_docs: DataFrame, windows: bool = True) -> DataFrame:
+    """(fp, run, key, span, windows): for each run of windows filed under the same fp, the hash of all its words, its first and last window, and the hashes of its windows, eight bytes each."""
+    schema = "fp long, run long, key long, span long" + (", windows binary" if windows else "")
+    return keyed_docs.select("key", "text").mapInArrow(lambda batches: _runs(batches, windows), schema)
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            own = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            times = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(i).to_numpy(), times)) for i in (0, 1)] + [pa.array(np.concatenate(own))], names=["fp", "n", "hash"])
 
 
 class FingerprintIndex:
-    """Immutable runs, sorted by fingerprint, of (fp, run, n): how often each run of windows has been seen.
+    """A log of immutable runs, each sorted by fingerprint: rows (fp, run, n, windows), how often a run of windows has been seen and the hashes of its windows.
 
-    append() writes one more sorted run of the log; compact() merges all of them into one, by a merge of what is sorted
-    alike; probe() merge-joins a batch with the log. fp and run are independent 64-bit hashes, the first of four words,
-    the second of all words of the run; both must agree (that is the verification; texts themselves aren't kept).
-    Runs are never changed, so a reader of an older list of runs stays right while others append.
+    append() writes one more sorted run of the log, unless a batch of that name is in it already, so that a batch that is
+    tried again changes nothing; compact() merges all runs into one; probe() and others() join a batch with the log by
+    fingerprint, as sort-merge joins. fp, run and the windows' hashes are independent 64-bit hashes, the first of four
+    words, the second of all words of the run; two must agree (that is the verification; texts aren't kept).
+
+    With a path the index stays: what has been written is listed in a folder state-N of its own, written after the run it
+    names, and an index that is opened on the path goes on from the last whole one. One writer at a time; runs never change,
+    so readers of an older state stay right. With windows=False the log leaves out the windows, for use within one call.
     """
 
-    SCHEMA = "fp long, run long, n long"
+    SCHEMA = "fp long, run long, n long, windows binary"
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, windows: bool = True):
+        self.spark, self.windows, self.stays = spark, windows, path is not None
         self.path = path or f"{shared_dir(spark)}/edgewise/index-{uuid.uuid4().hex}"
         self.levels: list[str] = []
-
-    def _write(self, counts: DataFrame) -> None:
+        self.batches: set[str] = set()
+        self.state = -1
+        if self.stays and (states := self._states()):
+            self.state = states[-1]
+            for kind, name in spark.read.schema("kind string, name string").parquet(f"{self.path}/state-{self.state:010d}").collect():
+                if kind == "batch":
+                    self.batches.add(name)
+                else:
+                    self.levels.append(f"{self.path}/{name}")
+
+    def _states(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(self.path)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        return sorted(int(n[6:]) for n in names if n.startswith("state-") and files.exists(path(at, f"{n}/_SUCCESS")))
+
+    def _save(self, levels: list[str], batches: set[str]) -> None:
+        if self.stays:
+            rows = [("batch", b) for b in sorted(batches)] + [("run", x.rsplit("/", 1)[1]) for x in levels]
+            self.spark.createDataFrame(rows, "kind string, name string").coalesce(1).write.parquet(f"{self.path}/state-{self.state + 1:010d}")
+            self.state += 1
+        self.levels, self.batches = levels, batches
+
+    def _write(self, counts: DataFrame) -> str:
         to = f"{self.path}/run-{uuid.uuid4().hex}"
         counts.sortWithinPartitions("fp", "run").write.parquet(to)
-        self.levels = [*self.levels, to]
+        return to
+
+    def _counted(self, rows: DataFrame, n) -> DataFrame:
+        return rows.groupBy("fp", "run").agg(n.alias("n"), *([F.first("windows").alias("windows")] if self.windows else []))
 
-    def append(self, found: DataFrame) -> None:
-        """found: rows with fp and run."""
-        self._write(found.groupBy("fp", "run").agg(F.count("*").alias("n")))
+    def append(self, found: DataFrame, batch: str | None = None) -> None:
+        """found: rows with fp and run, and windows unless the index leaves them out. A batch whose name is known isn't added again; without a name each is a new one."""
+        batch = batch or uuid.uuid4().hex
+        if batch not in self.batches:
+            self._save([*self.levels, self._write(self._counted(found, F.count("*")))], self.batches | {batch})
+
+    def _rows(self) -> DataFrame:
+        """(fp, run, n, windows); a run may come once a level."""
+        schema = self.SCHEMA if self.windows else "fp long, run long, n long"
+        return self.spark.read.schema(schema).parquet(*self.levels) if self.levels else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        if not self.levels:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*self.levels)
+        """(fp, run, n)"""
+        return self._rows().select("fp", "run", "n")
 
     def compact(self) -> None:
         if len(self.levels) > 1:
-            merged = self.read().groupBy("fp", "run").agg(F.sum("n").alias("n"))
-            self.levels, old = [], self.levels
-            try:
-                self._write(merged)
-            except Exception:
-                self.levels = old
-                raise
+            self._save([self._write(self._counted(self._rows(), F.sum("n")))], self.batches)
+
+    def _runs(self) -> DataFrame:
+        return self.read().groupBy("fp", "run").agg(F.sum("n").alias("n")) if len(self.levels) > 1 else self.read()
 
     def probe(self, found: DataFrame) -> DataFrame:
         """found with n (times its run is in the log) and kinds (different runs in the log under its fp); only rows with n or kinds over 1."""
-        log = self.read().groupBy("fp", "run").agg(F.sum("n").alias("n")) if len(self.levels) > 1 else self.read()
+        log = self._runs()
         kinds = cut(log.groupBy("fp").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1"), "kinds")
         known = cut(log.join(kinds, "fp").select("fp", "run", "n", "kinds"), "known")
         return found.join(known, ["fp", "run"])
 
+    def others(self, found: DataFrame) -> DataFrame:
+        """(fp, n, hash): the windows of the runs of the log that aren't in found but filed under an fp of it, with the times of their run."""
+        own = found.select("fp", "run").distinct()
+        rows = self._rows().join(own.select("fp").distinct(), "fp", "left_semi").join(own, ["fp", "run"], "left_anti")
+        return self._counted(rows, F.sum("n")).select("fp", "n", "windows").mapInArrow(_explode, "fp long, n long, hash long")
+
 
 def _windows(buckets_docs: pa.Table, asked: pa.Table) -> pa.Table:
     """The windows, one by one, of the runs asked for."""
@@ -225,28 +285,38 @@ def _strip(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = BATCHES, with_text: bool = False, batch: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and kept with with_text; one row a row of docs.
 
     A window is WINDOW consecutive words; each word goes that a window covers whose words also start elsewhere in docs
-    (same document included) or in what `index` held before. docs are added to the index, batch by batch, and the index
-    is compacted.
+    (same document included) or in what `index` held before. docs are added to the index in `batches` parts, and the index
+    is compacted. `batch` names docs in the index: a batch that it holds already isn't added again, and the answer to it
+    stays that of the first time, but for what others have added since. Without a name the rows' ids and texts make it, so a job that is tried again
+    removes nothing more; rows that come again and are to go need a name of their own.
 
     Of each document only the runs of windows that share their smallest gram are shuffled, about one for sixteen words:
     equal windows lie in runs with the same fp. Equal runs are repeated as a whole. Where an fp has different runs, their windows
-    are compared one by one; of equal runs one takes part, so a passage that thousands share costs one.
+    are compared one by one, those of earlier batches from the log; of equal runs one takes part, so a passage that thousands share costs one.
 
     Null texts are empty; a text under WINDOW words loses nothing; rows with the same id and text lose the same words
     (all, if long enough, as each repeats the other). An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
     buckets = 2 * partitions(spark)
     keys = keyed(docs, buckets)
+    if index is None:
+        own, batch = FingerprintIndex(spark, windows=False), "docs"
+    else:
+        own = index
+        if batch is None:
+            n, total = keys.agg(F.count("*"), F.sum(F.col("key").cast("decimal(38,0)"))).first()
+            batch = f"{n}:{total}"
+    found = run_fingerprints(keys, own.windows)
     for b in range(batches):
-        index.append(run_fingerprints(keys.where(F.pmod(F.shiftright("key", 20), F.lit(batches)) == b)))
-    index.compact()
-    hits = cut(index.probe(run_fingerprints(keys)), "hits")
+        own.append(found.where(F.pmod(F.shiftright("key", 20), F.lit(batches)) == b), f"{batch}/{b}/{batches}")
+    own.compact()
+    found = found.select("fp", "run", "key", "span")
+    hits = cut(own.probe(found), "hits")
     bucket = F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")
     whole = hits.where("n > 1").select("key", "span")
     mixed = hits.where("kinds > 1")
@@ -258,7 +328,10 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
         .applyInArrow(lambda d, a: _windows(d, a), "fp long, hash long, key long, at long, n long")
     )
     singles = cut(singles, "windows")
-    often = cut(singles.groupBy("fp", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("fp", "hash"), "often")
+    seen = singles.select("fp", "hash", "n")
+    if own.windows:
+        seen = seen.unionByName(own.others(mixed))
+    often = cut(seen.groupBy("fp", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("fp", "hash"), "often")
     here = singles.where("n = 1").join(often, ["fp", "hash"]).select("key", (F.shiftleft("at", 32) + F.col("at")).alias("span"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     out = keys.groupBy("bucket").cogroup(whole.unionByName(here).select(bucket, "key", "span").groupBy("bucket")).applyInArrow(lambda d, s: _strip(d, s), schema)

@@ -78,6 +78,35 @@ def test_index_is_incremental(spark, docs):
     assert len(index.levels) == 1 and sorted(map(tuple, index.read().collect())) == before
 
 
+def _repeats(batch, history, window=35):
+    """What of each text of batch is kept, by plain Python, if windows of history count too."""
+    count = Counter(tuple(w[i : i + window]) for t in [*batch.values(), *history.values()] for w in [t.split()] for i in range(len(w) - window + 1))
+    kept = {}
+    for d, t in batch.items():
+        w = t.split()
+        gone = {j for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        kept[d] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    return kept
+
+
+def test_substring_against_history(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    passages = [text(n) for n in (35, 36, 40, 50, 60, 120)]
+    put = lambda p: f"{text(int(rng.integers(0, 60)))} {p} {text(int(rng.integers(0, 60)))}".strip()
+    old = {i: put(p) for i, p in enumerate(passages)} | {6: text(200), 7: "", 8: "one two " * 40}
+    new = {20 + i: put(p) for i, p in enumerate(passages)} | {30: text(200), 31: old[6], 32: " ".join(old[6].split()[50:99]), 33: "one two " * 30, 34: put(passages[0])}
+    later = {40: put(passages[3]), 41: new[30], 42: text(90)}
+    path = str(tmp_path / "index")
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    run = lambda d, **how: {r.doc_id: r.kept for r in substring.remove_repeats(frame(d), substring.FingerprintIndex(spark, path), with_text=True, **how).collect()}
+    assert run(old) == _repeats(old, {})
+    assert run(new) == _repeats(new, old)  # an index that is opened again goes on
+    assert run(new) == _repeats(new, old)  # a batch that is tried again changes nothing
+    assert run(later, batch="later") == _repeats(later, old | new)
+    assert run(later, batch="again") == {d: "" for d in later}  # the same rows as a batch of another name are repeats
+
+
 def test_simhash(docs, none):
     import xxhash
 
