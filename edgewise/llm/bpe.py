@@ -23,6 +23,17 @@ FILE = "word_bpe_49k.json"
 REMEMBERED = 300_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # as a class of a pattern has it
+# Fixed values of the tokenizers library: it has the letters and digits of Unicode 16; these code points became letters or digits later.
+_NEWER = """
+    558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+    10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6
+    187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81
+    1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e
+    2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+# Small letters that it knows and Python's tables don't.
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _END = "\ue000"  # stands for the end of a word inside this module
 
 
@@ -68,7 +79,12 @@ class WordBPE:
         self.text |= {i: s for s, i in self.special.items()}
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.byte_chars = _byte_chars()
-        self.parts = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        parts = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
+        newer = "".join("-".join(f"\\U{int(c, 16):08x}" for c in r.split("-")) for r in _NEWER.split())
+        self.parts = regex.compile(parts)
+        self.newer = regex.compile(f"[{newer}]")
+        old = lambda kind: rf"(?:(?![{newer}])\p{{{kind}}})"
+        self.parts_newer = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{old('L')}+|{old('N')}|(?:(?!{old('L')}|{old('N')})[^{_SPACE}])+")
         self.words = re.compile(f"[^{_SPACE}]+")
         self.compatible: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -122,8 +138,11 @@ class WordBPE:
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
         """Of a run without white space: its ids, four bytes each, and its tokens' strings joined by a space."""
-        clean = word if word.isascii() else unicodedata.normalize("NFC", word)
-        ids = [i for part in self.parts.findall(clean.replace("Σ", "σ").lower()) for i in self.encode_part(part)]
+        clean, parts = word.lower(), self.parts
+        if not word.isascii():
+            clean = unicodedata.normalize("NFC", word).replace("Σ", "σ").translate(_SMALL).lower()
+            parts = self.parts_newer if self.newer.search(clean) else parts
+        ids = [i for part in parts.findall(clean) for i in self.encode_part(part)]
         found = np.array(ids, dtype="<u4").tobytes(), " ".join([self.text[i] for i in ids])
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()

@@ -230,6 +230,15 @@ def test_bpe(docs, none):
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_bpe_agrees_on_every_code_point():
+    own, library = bpe.load(f"{bpe.TOKENIZERS}/{bpe.FILE}"), pytest.importorskip("tokenizers").Tokenizer.from_file(f"{bpe.TOKENIZERS}/{bpe.FILE}")
+    library.no_truncation()
+    library.no_padding()
+    texts = [f"ab{chr(c)}Cd{chr(c)}{chr(c)}7" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 16 == 0)]
+    wrong = [t[2] for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)) if own.encode(t)[0] != np.array(e.ids, "<u4").tobytes()]
+    assert not wrong, [hex(ord(c)) for c in wrong[:50]]
+
+
 def test_ppm(docs, none):
     low = lambda t: [*words((t or "").translate({c: c + 32 for c in range(65, 91)})), b""]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
