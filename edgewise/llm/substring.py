@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
         if batch is None:
             n, total = keys.agg(F.count("*"), F.sum(F.col("key").cast("decimal(38,0)"))).first()
             batch = f"{n}:{total}"
-    found = run_fingerprints(keys, own.windows)
+    found = cut(run_fingerprints(keys, own.windows), "runs")
     for b in range(batches):
         own.append(found.where(F.pmod(F.shiftright("key", 20), F.lit(batches)) == b), f"{batch}/{b}/{batches}")
     own.compact()
