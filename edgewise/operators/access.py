@@ -174,3 +174,16 @@ def audit(decided: DataFrame, requests: DataFrame) -> DataFrame:
     rows = requests.join(decided, "req_id")
     details = F.to_json(F.struct("subject", "resource", "permission", "error"))
     return rows.select("req_id", F.lit("authorization_check").alias("event"), "subject", "resource", "permission", F.coalesce(F.when(F.col("error").isNotNull(), "error"), F.col("decision")).alias("outcome"), details.alias("details"))
+
+
+def audit_rates(events: DataFrame, width: str = "1 hour", *, time: str = "ts", kind: str = "event_type", value: str = "value", failed: str = "error", accuracy: int = 0) -> DataFrame:
+    """(start, total, failures, failure_rate, median, p95) of each window of time in which there are events.
+
+    Quantiles are exact while accuracy is 0: equal values are counted before the shuffle, and a task then holds the distinct
+    values of a window. Where those are too many, accuracy makes them Spark's sketch of bounded size, with a rank error of
+    1 / accuracy. A null value counts in none, and a null kind is no failure. Events without a time are left out.
+    """
+    at = lambda q: F.percentile_approx(value, q, accuracy) if accuracy else F.percentile(value, F.lit(q))
+    bad = F.count_if(F.col(kind) == failed)
+    per = events.where(F.col(time).isNotNull()).groupBy(F.window(time, width)).agg(F.count("*").alias("total"), bad.alias("failures"), at(0.5).alias("median"), at(0.95).alias("p95"))
+    return per.select(F.col("window.start").alias("start"), "total", "failures", (F.col("failures") / F.col("total")).alias("failure_rate"), "median", "p95")

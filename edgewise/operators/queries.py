@@ -13,7 +13,7 @@ from ..plans.policy import parse
 from ..sources import graph
 from ..sources.shared import shared_dir
 from ..sources.store import Store, Tenants, as_of, intervals, matching, read_changes, visible
-from ..streaming.watch import evaluate, follow, state, summary, watch
+from ..streaming.watch import evaluate, follow, state, stream_deletes, summary, watch
 from . import access
 
 POLICY = parse(graph.POLICY)
@@ -107,6 +107,18 @@ def _streamed(spark, d):
     return summary(spark, f"{where}/out")
 
 
+def _stream_deletes(spark, d):
+    """What is left of a store after a stream of filters: a subject, a resource with a relation, and one tuple; at most ten for each filter."""
+    where = f"{shared_dir(spark)}/edgewise/deletes-{uuid.uuid4().hex}"
+    store = Store(spark, f"{where}/store")
+    store.write(1, graph.stored(spark, d).where("relation IN ('editor', 'viewer')"))
+    asked = [(None, "editor", "user:3"), ("order:50", "viewer", None), (None, None, "user:4"), ("order:1", "viewer", "user:none")]
+    schema = "resource string, relation string, subject string"
+    spark.createDataFrame(asked, schema).coalesce(1).write.parquet(f"{where}/asked")
+    stream_deletes(spark.readStream.schema(schema).parquet(f"{where}/asked"), store, 1, f"{where}/out", f"{where}/checkpoint", 10).awaitTermination()
+    return store.snapshot(1)
+
+
 def _items(spark, d):
     """Structured items: the first 100 requests, each third without an id of its subject."""
     r = graph.requests(spark, d, "can_view").where("req_id < 100")
@@ -152,6 +164,8 @@ QUERIES = {
     "store_steps": _store,
     "watch_stream": _feed,
     "streaming_evaluate": _streamed,
+    "streaming_delete": _stream_deletes,
+    "audit_windows": lambda s, d: access.audit_rates(s.read.parquet(f"{d}/events.parquet")).select("start", "total", "failures", "failure_rate", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95")),
     "state_from_log": lambda s, d: state(graph.changes(s, d)).select("resource", "subject"),
     "tenant_dimensions": _dimension,
     "audit_outcomes": lambda s, d: access.audit(_more(s, d, "broken"), graph.requests(s, d, "broken")).groupBy("event", "outcome").agg(F.count("*").alias("n")),
@@ -242,6 +256,13 @@ ORACLE_SQL = {
       UNION ALL SELECT 'delete exact', 5, four, every - three - four FROM n UNION ALL SELECT 'write back', 6, three + four, every FROM n UNION ALL SELECT 'before', 6, every, every FROM n""",
     "watch_stream": f"{_CTE} SELECT v.revision, v.operation, resource, subject FROM edges, (VALUES (2, 'delete'), (3, 'create')) v(revision, operation) WHERE relation = 'editor' AND subject = 'user:3'",
     "streaming_evaluate": f"SELECT count(*) AS total, count(*) FILTER (decision = 'allow') AS allowed, 0 AS errors, true AS complete FROM ({_DECIDED(_HAS('editor'))})",
+    "streaming_delete": f"""{_CTE}, stored AS (SELECT * FROM edges WHERE relation IN ('editor', 'viewer')), matched AS (
+      SELECT resource, relation, subject, 1 AS f FROM stored WHERE relation = 'editor' AND subject = 'user:3' UNION ALL SELECT resource, relation, subject, 2 FROM stored WHERE resource = 'order:50' AND relation = 'viewer'
+      UNION ALL SELECT resource, relation, subject, 3 FROM stored WHERE subject = 'user:4'),
+      gone AS (SELECT resource, relation, subject FROM matched QUALIFY row_number() OVER (PARTITION BY f ORDER BY concat_ws(':', resource, relation, subject)) <= 10)
+      SELECT resource, relation, subject FROM stored EXCEPT SELECT resource, relation, subject FROM gone""",
+    "audit_windows": """SELECT date_trunc('hour', ts) AS start, count(*) AS total, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') / count(*) AS failure_rate,
+      round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE ts IS NOT NULL GROUP BY 1""",
     "state_from_log": f"{_LOG} SELECT resource, subject FROM live WHERE deleted_at IS NULL",
     "tenant_dimensions": """WITH vaults AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 10 ELSE n_regionkey END AS organization, n_name AS name FROM nation WHERE n_nationkey != 4 UNION ALL SELECT 100, 10, 'EMPTY'),
       orgs AS (SELECT r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 10, 'NEW') SELECT v.id, v.organization, v.name, o.name AS owner FROM vaults v JOIN orgs o ON o.id = v.organization WHERE v.organization != 2""",

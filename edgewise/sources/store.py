@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.entities import DELETE_LIMIT, entity_type, filter_error, key_order, relationship_error
 
 KEY = ["resource", "relation", "subject"]
+TUPLE = "resource string, relation string, subject string"
 LOG = "revision long, operation string, resource string, relation string, subject string, timestamp_nanos long, vault long"
 COMMIT = "revision long, operation string, folder string, rows long"
 
@@ -81,6 +83,10 @@ class Store:
         fs, at = self._files(folder)
         return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
+    def written(self, folder: str) -> bool:
+        """Whether Spark has finished writing a folder."""
+        return "_SUCCESS" in self._names(folder)
+
     def _create(self, file: str, text: str) -> bool:
         """Whether the file is new; it is never overwritten."""
         fs, at = self._files(file)
@@ -176,6 +182,30 @@ class Store:
         """Deletes the tuples of a table; those that don't live change nothing. Returns the revision and how many went."""
         return self._commit(vault, "delete", lambda at: (self.snapshot(vault, at) if at else self.log(vault)).join(rows.select(*KEY).distinct(), KEY, "left_semi"), expected)
 
+    def chosen(self, vault: int, filters: DataFrame, limit: int | None = None) -> DataFrame:
+        """The living tuples that any row of filters (resource, relation, subject; null: any) matches, at most `limit` for each filter in the order of keys (0: no limit).
+
+        Filters that ask by the same columns are one join on them, so many filters cost seven joins at most. All are judged on
+        the same snapshot. A filter without a column, or with an entity that isn't type:id, is an error.
+        """
+        limit = DELETE_LIMIT if limit is None else limit
+        entity = r"^[a-z0-9_]+:(?s:.+)$"
+        bad = F.coalesce(*KEY).isNull() | ~F.coalesce(F.col("resource").rlike(entity), F.lit(True)) | ~F.coalesce(F.col("subject").rlike(entity), F.lit(True))
+        if not filters.where(bad).isEmpty():
+            raise ValueError("a filter needs a column, and its entities a type and an id")
+        now, out = self.snapshot(vault), None
+        for given in product((True, False), repeat=3):
+            by = [k for k, g in zip(KEY, given) if g]
+            if not by:
+                continue
+            of = filters.where(" AND ".join(f"{k} IS {'NOT ' if g else ''}NULL" for k, g in zip(KEY, given))).select(*by).distinct()
+            found = now.join(of, by, "left_semi").select(*KEY)
+            if limit and len(by) < len(KEY):
+                own = Window.partitionBy(*by).orderBy(key_order())
+                found = found.withColumn("n", F.row_number().over(own)).where(F.col("n") <= limit).drop("n")
+            out = found if out is None else out.unionByName(found)
+        return out.distinct()
+
     def delete_request(self, vault: int, limit: int | None = None, exact: DataFrame | None = None, **given) -> dict[str, int]:
         """A filter (with the default limit of requests), a table of exact tuples, or both: the last revision, and how many were asked for and went."""
         out = {"revision": self.revision(vault), "requested": 0, "deleted": 0}

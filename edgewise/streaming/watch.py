@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.entities import entity_type, key_order
 from ..operators.access import check_batch, list_resources
 from ..plans.policy import Policy
-from ..sources.store import COMMIT, KEY, LOG, Store
+from ..sources.store import COMMIT, KEY, LOG, TUPLE, Store
 
 
 @dataclass
@@ -63,6 +63,22 @@ def evaluate(requests: DataFrame, policy: Policy, edges: DataFrame, out: str, ch
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_deletes(requests: DataFrame, store: Store, vault: int, out: str, checkpoint: str, limit: int | None = None) -> StreamingQuery:
+    """Deletes what a stream of filters (resource, relation, subject; null: any) matches, one revision a batch of the stream.
+
+    Which tuples go is written before they are deleted, to a folder for each batch. A batch that runs again deletes what
+    it wrote then, so it neither goes on to the next tuples under the limit nor deletes by a later snapshot.
+    """
+
+    def take(df: DataFrame, batch: int) -> None:
+        folder = f"{out}/batch={batch}"
+        if not store.written(folder):
+            store.chosen(vault, df, limit).write.mode("overwrite").parquet(folder)
+        store.delete_exact(vault, store.spark.read.schema(TUPLE).parquet(folder))
+
+    return requests.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def summary(spark: SparkSession, out: str) -> DataFrame:
     """(total, allowed, errors, complete) of what evaluate() wrote."""
     rows = spark.read.parquet(out)

@@ -1,6 +1,7 @@
 """Decisions, listings, versions and the change feed on small graphs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgewise.functions.entities import decode_offset, encode_offset, glob
 from edgewise.operators import access
@@ -149,3 +150,34 @@ def test_cursors_and_streams(spark, tmp_path):
         live_state(source(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("resource").agg({"revision": "max"}).collect()
     assert dict(map(tuple, got)) == {"doc:1": 3, "doc:2": 2}
+
+
+def test_filters_delete_as_a_stream(spark, tmp_path):
+    from edgewise.streaming.watch import stream_deletes
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.write(1, spark.createDataFrame([(f"doc:{i}", "r", f"user:{u}") for i in range(5) for u in "ab"], EDGES))
+    asked, schema = str(tmp_path / "asked"), "resource string, relation string, subject string"
+    ask = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(asked)
+    go = lambda limit, at: stream_deletes(spark.readStream.schema(schema).parquet(asked), store, 1, str(tmp_path / "out"), str(tmp_path / at), limit).awaitTermination()
+    left = lambda: sorted(r[0] + r[2] for r in store.snapshot(1).collect())
+    ask((None, None, "user:a"), ("doc:4", "r", "user:b"), ("doc:9", None, None))
+    go(2, "first")
+    want = ["doc:0user:b", "doc:1user:b", "doc:2user:a", "doc:2user:b", "doc:3user:a", "doc:3user:b", "doc:4user:a"]
+    assert left() == want
+    go(2, "again")  # the same batch without its checkpoint deletes the same tuples, not the next two
+    assert left() == want
+    for bad in ((None, None, None), ("doc", None, None)):
+        with pytest.raises(ValueError):
+            store.chosen(1, spark.createDataFrame([bad], schema))
+    assert store.chosen(1, spark.createDataFrame([], schema)).count() == 0
+    assert store.chosen(1, spark.createDataFrame([("doc:3", None, None), (None, "r", None)], schema), 0).count() == 7
+
+
+def test_audit_rates_of_odd_events(spark):
+    rows = [("2024-01-01 00:10:00", "error", 1.0), ("2024-01-01 00:50:00", None, None), ("2024-01-01 01:00:00", "view", 3.0), (None, "error", 9.0)]
+    events = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    for accuracy in (0, 100):
+        got = access.audit_rates(events, accuracy=accuracy).orderBy("start").drop("start").collect()
+        assert [tuple(r) for r in got] == [(2, 1, 0.5, 1.0, 1.0), (1, 0, 0.0, 3.0, 3.0)]
+    assert access.audit_rates(events.limit(0)).count() == 0
