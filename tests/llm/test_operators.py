@@ -354,6 +354,51 @@ def test_order_minhash(docs, none):
     assert ordermin.fingerprint_documents(none).count() == 0
 
 
+def plain_order_minhash(t):
+    """The fingerprint in plain integers: occurrence-numbered k-mers, the smallest of each sketch, in text order."""
+    top = (1 << 64) - 1
+
+    def spread(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    points = [ord(c) for c in t]
+    if not points:
+        return bytes(4 * ordermin.SKETCHES)
+    points += [0xFFFFFFFF] * (ordermin.K - len(points))
+    seen, numbered = Counter(), []
+    for i in range(len(points) - ordermin.K + 1):
+        x = 0
+        for c in points[i : i + ordermin.K]:
+            x = (x * int(ordermin._KMER) + c) & top
+        x = spread(x) & ~0xFFFFFF
+        numbered.append(spread((x + seen[x]) & top))
+        seen[x] += 1
+    out = b""
+    for a, b in zip(map(int, ordermin._DRAWS), map(int, ordermin._SHIFTS)):
+        least = sorted(((x * a + b) & top, i) for i, x in enumerate(numbered))[: ordermin.TUPLE]
+        h = 0
+        for value, _ in sorted(least, key=lambda v: v[1]):
+            h = spread((h + value + 1) & top)
+        out += (h >> 32).to_bytes(4, "big")
+    return out
+
+
+def test_order_minhash_against_plain_integers(spark):
+    texts = ["", "a", "abcde", "abcdef", "abcdefg", "ab" * 40, "z" * 30, "naïve 🙂 text, " * 9, BASE[0], BASE[0][:200] + BASE[1], None]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in ordermin.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(3)).collect()}
+    like = lambda a, b: sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / ordermin.SKETCHES
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[i - 1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, following = map(plain_order_minhash, (t, edited, after))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own.hex(), changed.hex()), t
+        assert (r.near_edited, r.near_next) == (like(own, changed), like(own, following)), t
+
+
 def test_order_minhash_sees_half_edited_texts():
     r = random.Random(3)
     vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(2000)]
@@ -540,3 +585,23 @@ def test_pipeline(spark):
     assert kept.columns == once.columns == docs.columns and 0 < once.count() <= kept.count() < docs.count()
     assert corpus_pipeline.hide_people(spark, once, sf).count() == once.count()
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_stages_on_odd_rows_and_none(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(20).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (1, "one", "en", None, 3), (1, "one", "en", None, 3), (1, "Mr. Adam Novak wrote to adam.novak@example.org today", None, "web", 51)], docs.schema))
+    once = corpus_pipeline.keep_one_of_each(spark, odd, sf)
+    texts = [r.text for r in once.collect()]
+    assert once.columns == docs.columns and texts.count("one") == 1 and len([t for t in texts if not t]) == 1
+    hidden = corpus_pipeline.hide_people(spark, odd, sf)
+    assert hidden.columns == docs.columns and hidden.count() == odd.count()
+    assert hidden.where(F.col("text").contains("adam.novak@")).isEmpty()
+    mixed = corpus_pipeline.mix(spark, odd, sf)
+    assert mixed.columns == docs.columns
+    assert corpus_pipeline.encode(spark, odd, sf).count() == odd.count()
+    assert corpus_pipeline.keep_good(spark, odd, sf).columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.where("false"), sf).count() == 0
