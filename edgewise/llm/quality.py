@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, row_key, text_bytes
 
-#: At most so many labelled documents are learned from (those with the smallest hash of their id).
-MOST_LABELLED = 20_000
-#: Each labelled document takes part in about so many pairs.
+#: Documents of each quality that meet in a slot, on average.
 PAIRS = 8
+#: Slots of a document are listed in arrays of so many, as there are very many where one quality is rare.
+SLOTS_AT_ONCE = 4096
+#: Scores are counted in so many bins at a time to find the one at a rank.
+BINS = 1024
 SYMBOLS = b"!|%&*$#"
 SENTENCE_END = b".,;:?"
 FEATURES = 20
@@ -69,29 +71,49 @@ def featurize(docs: DataFrame, key: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *more).mapInArrow(_features, "doc_id long, features array<double>" + "".join(f", {c} string" for c in more))
 
 
-def learn(rows: DataFrame, most: int = MOST_LABELLED, pairs: int = PAIRS) -> tuple[list[float], float]:
-    """Weights and threshold from rows (doc_id, features, quality).
+def at_rank(scores: DataFrame, rank: int) -> float:
+    """The value of the column s at a rank (from 0), exactly. Values are counted in bins, then those of the bin that holds the rank, until it holds one value; a count a bin comes to the driver."""
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        bin_ = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("bin")
+        for _, n, least, most in sorted(scores.where(F.col("s").between(low, high)).groupBy(bin_).agg(F.count("*"), F.min("s"), F.max("s")).collect()):
+            if rank < n:
+                low, high = least, most
+                break
+            rank -= n
+    return low
+
+
+def learn(rows: DataFrame, pairs: int = PAIRS) -> tuple[list[float], float]:
+    """Weights and threshold from all rows (doc_id, features, quality).
 
     A pair is a document of quality 1 and one of quality 0; the model says that the first wins with probability
     sigmoid(w * (x1 - x0)), and w minimises the logistic loss over the pairs. Each document goes to hashed slots, and
-    pairs are those that meet in a slot, so each document meets few. The threshold is the score quantile at the share of
-    quality 0. Without labels of both kinds: weights 0 and threshold 0 (every score 0.5).
+    pairs are those that meet in a slot, so each document meets few and pairs grow with the rows. The threshold is the
+    score quantile at the share of quality 0. Without labels of both kinds: weights 0 and threshold 0 (every score 0.5).
     """
-    rows = cut(rows.where("quality in (0, 1)").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most), "labelled")
+    rows = cut(rows.where("quality in (0, 1)"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
     if len(n) < 2:
         return [0.0] * FEATURES, 0.0
     few, lot = sorted((n[0], n[1]))
     slots = max(1, lot // 2)
     each = {q: max(1, pairs * lot // (n[q] * 2)) if n[q] == few else pairs // 2 for q in n}
-    side = lambda q: rows.where(F.col("quality") == q).select(F.col("features").alias(f"x{q}"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(each[q])), lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit(q)), F.lit(slots)))).alias("slot"))
-    met = side(1).join(side(0), "slot").select(F.zip_with("x1", "x0", lambda a, b: a - b).alias("d"))
-    both = met.select(array_to_vector("d").alias("d"), F.lit(1.0).alias("y")).unionByName(met.select(array_to_vector(F.transform("d", lambda x: -x)).alias("d"), F.lit(0.0).alias("y")))
-    model = LogisticRegression(featuresCol="d", labelCol="y", fitIntercept=False, regParam=1e-4, maxIter=50).fit(cut(both.coalesce(4), "pairs"))
+
+    def side(q: int) -> DataFrame:
+        mine = rows.where(F.col("quality") == q).select(F.col("doc_id").alias(f"id{q}"), F.col("features").alias(f"x{q}"), F.explode(F.sequence(F.lit(1), F.lit(each[q]), F.lit(SLOTS_AT_ONCE))).alias("at"))
+        turns = F.sequence("at", F.least(F.col("at") + SLOTS_AT_ONCE - 1, F.lit(each[q])))
+        return mine.select(f"id{q}", f"x{q}", F.explode(F.transform(turns, lambda i: F.pmod(F.xxhash64(f"id{q}", i, F.lit(q)), F.lit(slots)))).alias("slot"))
+
+    # Without an intercept a pair costs the same as (x1 - x0, won) and as (x0 - x1, lost); a coin says which.
+    met = side(1).join(side(0), "slot").withColumn("won", F.pmod(F.xxhash64("id1", "id0", "slot"), F.lit(2)))
+    both = met.select(array_to_vector(F.zip_with("x1", "x0", lambda a, b: F.when(F.col("won") == 1, a - b).otherwise(b - a))).alias("d"), F.col("won").cast("double").alias("y"))
+    model = LogisticRegression(featuresCol="d", labelCol="y", fitIntercept=False, regParam=1e-4, maxIter=50).fit(both)
     weights = [float(w) for w in model.coefficients]
-    scored = rows.select(strength(weights).alias("s"), "quality")
+    scored = cut(rows.select(strength(weights).alias("s")), "strengths")
+    last = n[0] + n[1] - 1
     share = n[0] / (n[0] + n[1])
-    low, high = scored.select(F.percentile("s", F.lit(max(0.0, share - 0.01))), F.percentile("s", F.lit(min(1.0, share + 0.01)))).first()
+    low, high = (at_rank(scored, round(last * min(1.0, max(0.0, share + d)))) for d in (-0.01, 0.01))
     return weights, (low + high) / 2
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from edgewise.llm import bpe, embeddings, html, mixing, ordermin, pii, ppm, quality, simhash, substring
@@ -566,6 +567,21 @@ def test_quality(spark, none):
     assert quality.score(quality.featurize(none), labels.where("quality = 9")).count() == 0
 
 
+def test_quality_learns_from_every_label(spark):
+    """The labels of quality 0 are those that the 20,000 smallest hashes leave out."""
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("doc_id", F.lit(5))))
+    rows = spark.range(21_000).select(F.col("id").alias("doc_id")).withColumn("quality", (rank <= 20_000).cast("int"))
+    noise = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1000)) / 1000 for i in range(quality.FEATURES - 1)]
+    weights, threshold = quality.learn(rows.select("doc_id", F.array(F.col("quality") + noise[0] / 2, *noise[1:], F.lit(0.0)).alias("features"), "quality"))
+    assert weights[0] > 1 and weights[0] > 3 * max(map(abs, weights[1:])) and threshold > 0
+
+
+def test_score_at_a_rank_is_exact(spark):
+    values = [rng.gauss(0, 1) for _ in range(3000)] + [0.25] * 500 + [1e-300, 1e9, -1e9]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [quality.at_rank(df, r) for r in (0, 1, 1700, 2100, len(values) - 1)] == [sorted(values)[r] for r in (0, 1, 1700, 2100, len(values) - 1)]
+
+
 def test_quality_tells_rows_apart_without_ids(spark):
     good = [(i, " ".join(rng.choices(WORDS, k=80)) + ".") for i in range(150)]
     bad = [(i, " | ".join(rng.choices(WORDS, k=80))) for i in range(150, 200)]
