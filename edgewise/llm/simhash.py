@@ -21,6 +21,8 @@ PIVOTS = 16
 STAGE_SHINGLE, STAGE_BITS, SIMILAR = 5, 10, 0.8
 #: Up to so many distinct fingerprints meet in buckets of two segments, more in buckets of three (the same pairs, of which each bucket holds fewer).
 TWO_SEGMENTS = 1 << 20
+#: Shingles of a text are counted in so many bins; what two texts can have in common follows from their counts.
+COUNTS = 128
 #: A bucket of more fingerprints is compared in chunks of so many, pair of chunks by pair of chunks.
 CHUNK = 512
 
@@ -103,16 +105,54 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"u": nodes[moved].view(np.int64), "v": nodes[label[moved]].view(np.int64)})
 
 
-def _nearest(table: pa.Table, most: int, masks: list[int]) -> pa.Table:
-    """Rows (bucket, part, fp, t) of many groups: for each fingerprint the nearest smaller and the nearest larger one that it links with (u, v, bits).
-
-    A pair that meets in several buckets counts in that of the first mask it agrees in, so it is reported once.
-    """
-    fp, t = table["fp"].to_numpy().view(np.uint64), table["t"].to_numpy()
-    a, b = links_within(table["bucket"].to_numpy(), table["part"].to_numpy(), fp, most)
+def _counts_here(a: np.ndarray, b: np.ndarray, fp: np.ndarray, t: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Whether each pair is in the bucket of the first mask it agrees in; pairs that meet in several buckets count there."""
     own = np.ones(len(a), bool)
     for i, m in enumerate(masks[: int(t.max(initial=0))]):
         own &= (i >= t[a]) | ((fp[a] ^ fp[b]) & np.uint64(m & (1 << 64) - 1) != 0)
+    return own
+
+
+def _can_be_similar(counts: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the counts of the shingles of each pair of texts leave room for a similarity of `least`: in a bin no more can be shared than the smaller count. A full bin leaves any room."""
+    size, full = counts.sum(axis=1, dtype=np.int64), (counts == 255).any(axis=1)
+    both = np.concatenate([np.zeros(0, np.int64), *(np.minimum(counts[a[i : i + 50_000]], counts[b[i : i + 50_000]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), 50_000))])
+    return full[a] | full[b] | (both >= least * (size[a] + size[b] - both))
+
+
+def _unlinked(table: pa.Table, most: int, least: float, masks: list[int], turn: int | None) -> pa.Table:
+    """Rows (bucket, part, fp, t, node, label, counts) of many groups: pairs of nodes with different labels that can be similar (u, v, draw). All of them if turn is None, else of each node the one with the least draw, a number that differs from turn to turn."""
+    group, part, t, node, label = (table[c].to_numpy() for c in ("bucket", "part", "t", "node", "label"))
+    fp = table["fp"].to_numpy().view(np.uint64)
+    _, of = np.unique(group, return_inverse=True)
+    low, high = np.full(len(of), np.iinfo(np.int64).max), np.full(len(of), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, label)
+    np.maximum.at(high, of, label)
+    some = np.flatnonzero(low[of] < high[of])
+    group, part, fp, t, node, label = group[some], part[some], fp[some], t[some], node[some], label[some]
+    counts = np.frombuffer(b"".join(table["counts"].take(some).to_pylist()), np.uint8).reshape(-1, COUNTS)
+    a, b = links_within(group, part, fp, most)
+    keep = label[a] != label[b]
+    a, b = a[keep], b[keep]
+    keep = _counts_here(a, b, fp, t, masks)
+    a, b = a[keep], b[keep]
+    keep = _can_be_similar(counts, a, b, least)
+    u, v = np.minimum(node[a[keep]], node[b[keep]]), np.maximum(node[a[keep]], node[b[keep]])
+    draw = mix(mix(u.view(np.uint64)) ^ v.view(np.uint64) ^ np.uint64(turn or 0)).view(np.int64)
+    if turn is not None:
+        u, v, draw = np.r_[u, v], np.r_[v, u], np.r_[draw, draw]
+        order = np.lexsort((draw, u))
+        u, v, draw = u[order], v[order], draw[order]
+        first = np.r_[True, u[1:] != u[:-1]] if len(u) else np.zeros(0, bool)
+        u, v, draw = u[first], v[first], draw[first]
+    return pa.table({"u": u, "v": v, "draw": draw})
+
+
+def _nearest(table: pa.Table, most: int, masks: list[int]) -> pa.Table:
+    """Rows (bucket, part, fp, t) of many groups: for each fingerprint the nearest smaller and the nearest larger one that it links with (u, v, bits)."""
+    fp, t = table["fp"].to_numpy().view(np.uint64), table["t"].to_numpy()
+    a, b = links_within(table["bucket"].to_numpy(), table["part"].to_numpy(), fp, most)
+    own = _counts_here(a, b, fp, t, masks)
     a, b = a[own], b[own]
     nodes, inverse = np.unique(fp, return_inverse=True)
     bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
@@ -140,21 +180,24 @@ def _met(fps: DataFrame, most: int, join, schema: str) -> DataFrame:
     """What join(rows, masks) makes of the distinct fingerprints that agree in some choice of segments (see _segments), bucket by bucket.
 
     Each distinct fingerprint goes to the buckets of its choices of segments, and pairs meet in a bucket. Buckets of one are
-    dropped. Large buckets are dealt out in chunks, each pair of chunks to a task of its own.
+    dropped. Large buckets are dealt out in chunks, each pair of chunks to a task of its own. Where fps has columns node,
+    label and counts, its rows meet instead of its fingerprints, and buckets of one label are dropped.
     """
     spark = fps.sparkSession
-    nodes = cut(fps.where("fp is not null").select("fp").distinct(), "distinct")
+    own = ["node", "label", "counts"] if "label" in fps.columns else []
+    nodes = cut(fps.where("fp is not null").select("fp", *own).distinct(), "distinct")
     agree = 2 if most <= MOST_BITS or nodes.count() <= TWO_SEGMENTS else 3
     masks = _segments(most, agree)
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    keyed = cut(keyed.select("fp", "t", F.xxhash64("t", "key").alias("bucket")), "buckets")
-    many = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = nodes.select("fp", *own, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    keyed = cut(keyed.select("fp", *own, "t", F.xxhash64("t", "key").alias("bucket")), "buckets")
+    two = F.min("label") < F.max("label") if own else F.lit(True)
+    many = keyed.groupBy("bucket").agg(F.count("*").alias("n"), two.alias("two")).where("n > 1 and two").select("bucket", "n")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = (
         keyed.join(many, "bucket")
-        .select("fp", "t", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int").alias("part"))
-        .select("fp", "t", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("fp", "t", "part", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
+        .select("fp", *own, "t", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64(own[0] if own else "fp", F.lit(7)), chunks).cast("int").alias("part"))
+        .select("fp", *own, "t", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("fp", *own, "t", "part", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
     )
     slices = 4 * partitions(spark)
     return dealt.groupBy(F.pmod("bucket", F.lit(slices)).alias("slice")).applyInArrow(lambda rows: join(rows, masks), schema)
@@ -206,29 +249,69 @@ def _similar(least: float, n: int):
     return run
 
 
+def _counted(n: int):
+    """Rows (node, text): (node, counts), the text's shingles counted in bins of their hash, up to 255 a bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(1):
+                bins = np.array([xxhash.xxh64_intdigest(x, 42) % COUNTS for x in shingles(t.as_py(), n)], np.int64)
+                found.append(np.minimum(np.bincount(bins, minlength=COUNTS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "counts"])
+
+    return run
+
+
 def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, most: int = STAGE_BITS, similar: float = SIMILAR) -> DataFrame:
     """(_row, doc_id, node, component) for docs with a column _row that tells rows apart: node stands for the row's text, component for all texts it reaches over links.
 
-    Candidates are texts with equal fingerprints of `shingle` words, and of each fingerprint the nearest smaller and the
-    nearest larger one among those that differ in at most `most` bits; a candidate is a link if the Jaccard similarity of
-    the shingle sets is at least `similar`, exactly. So each text costs a few comparisons, whatever the size of its group.
+    Two texts are linked if their fingerprints of `shingle` words differ in at most `most` bits and the Jaccard similarity
+    of their shingle sets is at least `similar`. Every such pair is compared unless other links join its texts already:
+    first texts with equal fingerprints and each fingerprint's nearest smaller and larger one, then, in turns, each text
+    with one other of those that are near and in another component, while such turns find links, then all pairs left. In
+    the last two, pairs whose counts of shingles leave no room for the similarity aren't compared. So a group whose texts
+    link costs a few comparisons a text; near texts that don't link cost one a pair, at most.
     """
     fps = fingerprints(docs.withColumn("__key", F.concat_ws(",", "_row", F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))), "__key", shingle)
     of = F.split("__key", ",")
     fps = cut(fps.select("doc_id", "fp", of[0].alias("_row"), of[1].cast("long").alias("node")), "fingerprints")
     texts = fps.groupBy("fp", "node").agg(F.min("_row").alias("_row"))
-    first = texts.groupBy("fp").agg(F.min("node").alias("first"))
+    first = texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
     alike = texts.join(first, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     near = _met(fps, most, lambda rows, masks: _nearest(rows, most, masks), "u long, v long, bits long")
-    near = near.groupBy("u", (F.col("v") < F.col("u")).alias("side")).agg(F.min(F.struct("bits", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    asked = cut(alike.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "asked")
-    some = asked.select(F.col("u").alias("node")).unionByName(asked.select(F.col("v").alias("node"))).distinct()
-    text = docs.select("_row", F.coalesce("text", F.lit("")).alias("text")).join(texts.join(some, "node").select("_row", "node"), "_row").dropDuplicates(["node"]).select("node", "text")
+    near = cut(near.groupBy("u", (F.col("v") < F.col("u")).alias("side")).agg(F.min(F.struct("bits", "v")).alias("x")).select("u", F.col("x.v").alias("v")), "near")
+    # Only texts that are near another take part from here on.
+    some = near.select(F.col("u").alias("fp")).unionByName(first.where("n > 1").select("fp")).distinct()
+    open_ = cut(texts.join(some, "fp").select("fp", "node", "_row"), "open")
+    text = docs.select("_row", F.coalesce("text", F.lit("")).alias("text")).join(open_.select("_row", "node"), "_row").dropDuplicates(["node"]).select("node", "text")
     text = cut(text, "texts", "zstd")
-    pairs = asked.join(text.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    links = pairs.select("u", "v", "a", "b").mapInArrow(_similar(similar, shingle), "u long, v long")
-    reached = cut(components(links), "similar")
+    open_ = cut(open_.select("fp", "node").join(text.mapInArrow(_counted(shingle), "node long, counts binary"), "node"), "counts")
+
+    def linked(asked: DataFrame) -> DataFrame:
+        pairs = asked.join(text.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return cut(pairs.select("u", "v", "a", "b").mapInArrow(_similar(similar, shingle), "u long, v long"), "links")
+
+    def left(reached: DataFrame, turn: int | None) -> DataFrame:
+        labelled = open_.join(reached, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"), "counts")
+        return _met(labelled, most, lambda rows, masks: _unlinked(rows, most, similar, masks, turn), "u long, v long, draw long")
+
+    one_way = lambda asked: cut(asked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "asked")
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = linked(one_way(alike.unionByName(near)))
+    reached, turn, found, n = cut(components(links), "similar"), 0, 1, 1
+    while found * 10 >= n > 0:
+        turn += 1
+        asked = one_way(left(reached, turn).groupBy("u").agg(F.min(F.struct("draw", "v")).alias("x")).select("u", F.col("x.v").alias("v")))
+        new = linked(asked)
+        n, found = asked.count(), new.count()
+        if found:
+            links = links.unionByName(new)
+            reached = cut(components(links), "similar")
+    if n:
+        new = linked(one_way(left(reached, None)))
+        if not new.isEmpty():
+            reached = cut(components(links.unionByName(new)), "similar")
     return fps.join(reached, "node", "left").select("_row", "doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 

@@ -167,6 +167,28 @@ def test_near_dedup_verifies_similarity(spark):
     assert simhash.drop_near_duplicates(df.where("doc_id < 0")).count() == 0
 
 
+def test_near_dedup_leaves_no_pair_out(spark):
+    """In a group of edited copies most are far under 0.8 from their nearest fingerprints and reach each other over others."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(900)]
+    base = r.choices(vocabulary, k=150)
+    rows = []
+    for _ in range(80):
+        w = list(base)
+        for at in r.sample(range(150), r.randint(1, 4)):
+            w[at] = r.choice(vocabulary)
+        rows.append((len(rows), " ".join(w)))
+    text = [simhash.shingles(t) for _, t in rows]
+    fp = [simhash.simhash(t.encode(), 5) for _, t in rows]
+    part = list(range(len(rows)))
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (fp[i] ^ fp[j]).bit_count() <= simhash.STAGE_BITS and len(text[i] & text[j]) >= 0.8 * len(text[i] | text[j])]
+    for _ in rows:
+        for i, j in links:
+            part[i] = part[j] = min(part[i], part[j])
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {k.doc_id for k in kept} == set(part) and len(kept) == len(set(part)) < 40
+
+
 def test_simhash_buckets_find_all_near_pairs():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
