@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,22 +95,26 @@ class Checker:
             seen.add(key[1])
             self._leaves(*key, rule.expr, known, seen, leaves)
 
-    def direct(self, relations: list[str], need: DataFrame) -> DataFrame:
-        """need's pairs that have tuples of any of the relations, with one boolean column for each."""
+    def _of(self, type_name: str) -> DataFrame:
+        """The tuples on resources of a type. Stored tuples are sorted by resource, so those of other types are hardly read."""
+        return self.edges.where(F.col("resource").startswith(f"{type_name}:") | (F.col("resource") == type_name))
+
+    def direct(self, type_name: str, relations: list[str], need: DataFrame) -> DataFrame:
+        """need's pairs (resources of the type) that have tuples of any of the relations, with one boolean column for each."""
         asked = need.select("resource", "s", F.explode(F.array_distinct(F.array("s", wildcard(F.col("s"))))).alias("subject"))
-        found = self.edges.where(F.col("relation").isin(relations)).select("resource", "subject", "relation")
+        found = self._of(type_name).where(F.col("relation").isin(relations)).select("resource", "subject", "relation")
         has = [F.max(F.col("relation") == r).alias(f"direct:{r}") for r in relations]
         return asked.join(found, ["resource", "subject"]).groupBy("resource", "s").agg(*has)
 
-    def _hop(self, through: str, need: DataFrame) -> DataFrame:
-        step = self.edges.where(F.col("relation") == through).select("resource", F.col("subject").alias("object"))
+    def _hop(self, type_name: str, through: str, need: DataFrame) -> DataFrame:
+        step = self._of(type_name).where(F.col("relation") == through).select("resource", F.col("subject").alias("object"))
         return need.select("resource", "s").join(step, "resource")
 
     def _joined(self, type_name: str, need: DataFrame, leaves: dict, known: dict[Key, DataFrame]) -> DataFrame:
         """need's pairs with a column for each leaf: a boolean for tuples, a struct (held, error) for the others."""
         out = need.select("resource", "s")
         if relations := sorted(x[1] for x in leaves if x[0] == "direct"):
-            out = out.join(self.direct(relations, need), ["resource", "s"], "left")
+            out = out.join(self.direct(type_name, relations, need), ["resource", "s"], "left")
             out = out.withColumns({f"direct:{r}": F.coalesce(F.col(f"`direct:{r}`"), F.lit(False)) for r in relations})
         for _, name in (x for x in leaves if x[0] == "known"):
             key = (type_name, name)
@@ -119,11 +124,14 @@ class Checker:
         for _, through, name in (x for x in leaves if x[0] == "via"):
             by_hop.setdefault(through, []).append(name)
         for through, names in by_hop.items():
-            hop, parts = cut(self._hop(through, need), "hop"), []  # read three times by the next type's plan
+            hop, parts = cut(self._hop(type_name, through, need), "hop"), []  # read three times by the next type's plan
             for to in self.leads_to(type_name, through):
                 mine = hop.where(entity_type(F.col("object")) == to)
                 below = mine.select(F.col("object").alias("resource"), "s").distinct()
                 told = self.evaluate(to, names, below, known).withColumnRenamed("resource", "object")
+                # Pairs on which nothing holds or fails say nothing to those that lead to them.
+                says = [F.col(f"`{n}`.held") | F.col(f"`{n}`.error").isNotNull() for n in names]
+                told = told.where(reduce(Column.__or__, says))
                 parts.append(mine.join(told, ["object", "s"]).select("resource", "s", *[F.col(f"`{n}`") for n in names]))
             if not parts:
                 continue
@@ -207,7 +215,7 @@ class Checker:
                     if isinstance(x, Ref) and (k[0], x.name) in circle:
                         to = [((k[0], x.name), n)]
                     elif isinstance(x, Via):
-                        hop = self._hop(x.through, n).select(F.col("object").alias("resource"), "s")
+                        hop = self._hop(k[0], x.through, n).select(F.col("object").alias("resource"), "s")
                         to = [((t, x.name), hop.where(entity_type(F.col("resource")) == t)) for t in self.leads_to(k[0], x.through) if (t, x.name) in circle]
                     else:
                         continue

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.entities import decode_offset, encode_offset, glob
 from edgewise.operators import access
-from edgewise.plans.policy import PolicyError, explain, parse, validate
+from edgewise.plans.compile import Checker
+from edgewise.plans.policy import Policy, PolicyError, explain, parse, validate
 from edgewise.sources.store import RevisionMismatch, Store
 from edgewise.streaming.watch import follow, rendered, watch
 
@@ -181,3 +182,11 @@ def test_audit_rates_of_odd_events(spark):
         got = access.audit_rates(events, accuracy=accuracy).orderBy("start").drop("start").collect()
         assert [tuple(r) for r in got] == [(2, 1, 0.5, 1.0, 1.0), (1, 0, 0.0, 3.0, 3.0)]
     assert access.audit_rates(events.limit(0)).count() == 0
+
+
+def test_tuples_of_other_types_are_not_joined(spark):
+    """A type's name may begin another's, and a resource without a colon is its own type."""
+    edges = spark.createDataFrame([("a:1", "parent", "b:1"), ("ab:1", "parent", "b:2"), ("a", "parent", "b:3")], "resource string, relation string, subject string")
+    need = spark.createDataFrame([(r, "user:1") for r in ("a:1", "ab:1", "a")], "resource string, s string")
+    hop = Checker(Policy(), edges)._hop("a", "parent", need)
+    assert {(r.resource, r.object) for r in hop.collect()} == {("a:1", "b:1"), ("a", "b:3")}
