@@ -17,20 +17,15 @@ K, SKETCHES, TUPLE = 6, 100, 2
 _KMER = U64(int(seeds(1, 301)[0]))
 _DRAWS = seeds(SKETCHES, 401)
 _SHIFTS = mix(seeds(SKETCHES, 501))
-_STEP = 1 << 10
+_STEP = 1 << 9
 EMPTY = b"\0" * (4 * SKETCHES)
 
 
-def fingerprint(points: np.ndarray) -> bytes:
-    """Of a text's code points (uint32): 4 bytes a sketch.
-
-    Each k-mer is numbered by how often it has stood before, so repeats count. For each sketch all numbered k-mers are
-    hashed anew; the TUPLE smallest are put in the order they have in the text, and their hashes make the sketch. A text
-    shorter than K counts as one k-mer, one with fewer k-mers than TUPLE uses what it has; the empty text's is all zeros.
-    """
+def numbered_kmers(points: np.ndarray) -> np.ndarray:
+    """A hash of each k-mer of a text's code points (uint32) and of how often it has stood before, in text order."""
     n = len(points)
     if not n:
-        return EMPTY
+        return np.zeros(0, np.uint64)
     points = points.astype(np.uint64)
     if n < K:
         points = np.concatenate([points, np.full(K - n, 0xFFFFFFFF, np.uint64)])
@@ -50,13 +45,23 @@ def fingerprint(points: np.ndarray) -> bytes:
     start = np.maximum.accumulate(np.where(np.r_[True, inorder[1:] != inorder[:-1]], at, 0))
     numbered = np.empty_like(kmers)
     numbered[order] = mix(inorder + (at - start).astype(np.uint64))
-    count = min(TUPLE, len(numbered))
-    best = np.full((SKETCHES, count), ~U64(0))
-    place = np.zeros((SKETCHES, count), np.int64)
-    for lo in range(0, len(numbered), _STEP):
-        drawn = numbered[None, lo : lo + _STEP] * _DRAWS[:, None] + _SHIFTS[:, None]
-        rows = np.arange(SKETCHES)
-        for _ in range(min(count, drawn.shape[1])):
+    return numbered
+
+
+Smallest = tuple[np.ndarray, np.ndarray]  # of each sketch the TUPLE smallest hashes, and their places in the text
+
+
+def smallest(numbered: np.ndarray, start: int, end: int, before: Smallest | None = None) -> Smallest:
+    """Of the k-mers from start to end and those that `before` comes from."""
+    if before is None:
+        best, place = np.full((SKETCHES, TUPLE), ~U64(0)), np.zeros((SKETCHES, TUPLE), np.int64)
+    else:
+        best, place = before[0].copy(), before[1].copy()
+    rows = np.arange(SKETCHES)
+    for lo in range(start, end, _STEP):
+        drawn = numbered[None, lo : min(end, lo + _STEP)] * _DRAWS[:, None]
+        drawn += _SHIFTS[:, None]
+        for _ in range(min(TUPLE, drawn.shape[1])):
             low = drawn.argmin(axis=1)
             value = drawn[rows, low]
             drawn[rows, low] = ~U64(0)
@@ -64,6 +69,18 @@ def fingerprint(points: np.ndarray) -> bytes:
             better = value < best[rows, worst]
             best[rows[better], worst[better]] = value[better]
             place[rows[better], worst[better]] = low[better] + lo
+    return best, place
+
+
+def sketches(found: Smallest, count: int) -> bytes:
+    """The fingerprint from the smallest hashes of a text of so many k-mers."""
+    best, place = found
+    count = min(TUPLE, count)
+    if not count:
+        return EMPTY
+    if count < TUPLE:
+        kept = np.argsort(best, axis=1, kind="stable")[:, :count]
+        best, place = np.take_along_axis(best, kept, axis=1), np.take_along_axis(place, kept, axis=1)
     chosen = np.take_along_axis(best, np.argsort(place, axis=1), axis=1)
     out = np.zeros(SKETCHES, np.uint64)
     for j in range(count):
@@ -71,6 +88,25 @@ def fingerprint(points: np.ndarray) -> bytes:
     return (out >> U64(32)).astype(">u4").tobytes()
 
 
+def fingerprint(points: np.ndarray) -> bytes:
+    """Of a text's code points (uint32): 4 bytes a sketch.
+
+    Each k-mer is numbered by how often it has stood before, so repeats count. For each sketch all numbered k-mers are
+    hashed anew; the TUPLE smallest are put in the order they have in the text, and their hashes make the sketch. A text
+    shorter than K counts as one k-mer, one with fewer k-mers than TUPLE uses what it has; the empty text's is all zeros.
+    """
+    numbered = numbered_kmers(points)
+    return sketches(smallest(numbered, 0, len(numbered)), len(numbered))
+
+
+def with_first_half(points: np.ndarray) -> tuple[bytes, int, Smallest]:
+    """The fingerprint, and of the part that an edited text keeps: how many k-mers lie in it, and their smallest hashes."""
+    numbered = numbered_kmers(points)
+    kept = max(0, len(points) - len(points) // 2 - K + 1)
+    half = smallest(numbered, 0, kept)
+    return sketches(smallest(numbered, kept, len(numbered), half), len(numbered)), kept, half
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """Share of the sketches that two fingerprints have in common."""
     return float((np.frombuffer(a, ">u4") == np.frombuffer(b, ">u4")).mean())
@@ -80,10 +116,13 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _row(doc_id: int | None, text: str, own: bytes, head: str, following: bytes) -> tuple:
+def _row(doc_id: int | None, text: str, own: bytes, kept: int, first: Smallest | None, head: str, following: bytes) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + head[:half]
-    mine = fingerprint(_points(edited)) if edited != text else own
+    mine = own
+    if edited != text:
+        numbered = numbered_kmers(_points(edited))
+        mine = sketches(smallest(numbered, kept, len(numbered), first), len(numbered))
     return doc_id, len(text), hashlib.sha256(edited.encode()).digest(), own, mine, likeness(own, mine), likeness(own, following)
 
 
@@ -104,12 +143,12 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for part, doc_id, raw in zip(*(c.to_pylist() for c in got.slice(lo, 200).columns)):
                 text = raw.decode()
-                own = fingerprint(_points(text))
+                own, *first = with_first_half(_points(text))
                 if last is None:
                     out.append((doc_id, None, None, own, None, None, None, part, "first", raw))
                 else:
                     out.append((*_row(*last, text, own), part, None, None))
-                last = doc_id, text, own
+                last = doc_id, text, own, *first
             if out:
                 yield batch(out)
     if last:
@@ -119,7 +158,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in batches:
         for doc_id, raw, own, head, following in zip(*(c.to_pylist() for c in got.columns)):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(_row(doc_id, raw.decode(), own, head.decode(), following), _KINDS)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(_row(doc_id, raw.decode(), own, 0, None, head.decode(), following), _KINDS)], names=_NAMES)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -576,6 +576,15 @@ def _inside(a, b):
     return all(x in it for x in a)
 
 
+def test_edited_fingerprints_go_on_from_the_kept_half():
+    texts = ["", "a", "abcde", "abcdef", "abcdefghijkl", "abababababababab", BASE[0], BASE[1], "xyz" * 700]
+    for t, following in itertools.product(texts, texts):
+        own, *kept = ordermin.with_first_half(ordermin._points(t))
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert own == ordermin.fingerprint(ordermin._points(t))
+        assert ordermin._row(1, t, own, *kept, following, own)[4] == ordermin.fingerprint(ordermin._points(edited)), (t, following)
+
+
 def test_quality(spark, none):
     good = [(i, " ".join(rng.choices(WORDS, k=80)) + ".", 1) for i in range(0, 150)]
     bad = [(i, " | ".join(rng.choices(WORDS, k=80)), 0) for i in range(150, 200)]
