@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 U64 = np.uint64
+#: Spark removes the shuffle files of a query when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges of a partition, at least, where their components are looked for.
+EDGES = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it again: later steps neither compute it twice nor lose it with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/edgewise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it again: later steps neither compute it twice nor lose it with an executor. The shuffle files that it took go at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/edgewise/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -86,20 +96,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps, each an aggregation and a join on the node. Nodes without an edge to
     another node aren't returned; null ends are no edges. Each round is written to the shared folder, so an executor
-    that is lost costs one round. Raises if rounds don't suffice.
+    that is lost costs one round. Raises if rounds don't suffice. Partitions follow the number of edges: a few edges dealt
+    over all shuffle partitions would cost each round thousands of small files.
     """
     pairs = edges.where("u is not null and v is not null and u != v").select("u", "v")
     now = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, now.count() // EDGES)
     was = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The minima are written before they are joined: both sides of each join are then dealt out for it, and Spark can split a node with very many edges.
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = cut(both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "low")
+        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.coalesce(parts).distinct().coalesce(parts), "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts), "edges")
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == was:
             break

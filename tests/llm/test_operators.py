@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from edgewise.llm import bpe, embeddings, html, mixing, ordermin, pii, ppm, quality, simhash, substring
+from edgewise.llm import bpe, common, embeddings, html, mixing, ordermin, pii, ppm, quality, simhash, substring
 
 rng = random.Random(11)
 WORDS = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(300)]
@@ -189,6 +190,44 @@ def test_near_dedup_leaves_no_pair_out(spark):
     assert {k.doc_id for k in kept} == set(part) and len(kept) == len(set(part)) < 40
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    out = set()
+    while files.hasNext():
+        out.add(files.next().getName())
+    return {f for f in out if f.startswith("shuffle_")}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    assert common.cut(spark.range(1000).groupBy(F.pmod("id", F.lit(7))).count(), "test").count() == 7
+    until = time.time() + 10  # Spark removes them in the background
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(common.CLEANUP, None) is None
+
+
+def test_components_of_few_edges_are_few_files(spark, tmp_path, monkeypatch):
+    """Before, each of a round's four tables had a file for each of the shuffle partitions."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        chain = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + F.when(F.col("id") % 20 == 19, 0).otherwise(1)).alias("v"))
+        got = {r.node: r.component for r in common.components(chain).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 20 * 20 for i in range(200)}
+    tables = [x for x in (tmp_path / "edgewise").iterdir() if x.name.split("-")[0] in ("low", "large", "edges")]
+    files = sorted(len(list(x.glob("part-*"))) for x in tables)
+    # The first table is written before the number of edges is known.
+    assert len(tables) > 8 and files[-2] <= spark.sparkContext.defaultParallelism
+
+
 def test_simhash_buckets_find_all_near_pairs():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
