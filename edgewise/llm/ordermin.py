@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, partitions, seeds, text_bytes
+from .common import U64, mix, partitions, seeds, text_bytes
 
 #: Code points of a k-mer, sketches of a fingerprint, and k-mers of a sketch.
 K, SKETCHES, TUPLE = 6, 100, 2
@@ -132,33 +133,46 @@ _SCHEMA = "doc_id long, n_chars long, edited binary, fingerprint binary, edited_
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, doc_id, text) in order. Each is finished by the one after it; a part's first and last text are handed on as edges."""
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*_KINDS, pa.int32(), pa.string(), pa.binary()])], names=[*_NAMES, "part", "edge", "text"])
-
-    last, part = None, None
+    """Rows (closes, doc_id, text) in order. Each is finished by the one after it; a part ends with a row that closes it, the first of the part that follows."""
+    last = None
     for got in batches:
         for lo in range(0, got.num_rows, 200):
             out = []
-            for part, doc_id, raw in zip(*(c.to_pylist() for c in got.slice(lo, 200).columns)):
+            for closes, doc_id, raw in zip(*(c.to_pylist() for c in got.slice(lo, 200).columns)):
                 text = raw.decode()
                 own, *first = with_first_half(_points(text))
-                if last is None:
-                    out.append((doc_id, None, None, own, None, None, None, part, "first", raw))
-                else:
-                    out.append((*_row(*last, text, own), part, None, None))
-                last = doc_id, text, own, *first
+                if last is not None:
+                    out.append(_row(*last, text, own))
+                last = None if closes else (doc_id, text, own, *first)
             if out:
-                yield batch(out)
-    if last:
-        yield batch([(last[0], None, None, last[2], None, None, None, part, "last", last[1].encode())])
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for got in batches:
-        for doc_id, raw, own, head, following in zip(*(c.to_pylist() for c in got.columns)):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(_row(doc_id, raw.decode(), own, 0, None, head.decode(), following), _KINDS)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
+
+
+def bounds(ids: DataFrame, parts: int) -> tuple[list[int], dict[int | None, int]]:
+    """Ids, descending, that cut the rows into about so many equal parts; and of ids that fill more than one part, null too, how many. Such an id is a range of its own."""
+    at = [i / parts for i in range(parts + 1)]
+    n, known, found = ids.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", at, F.lit(max(10_000, 20 * parts)))).first()
+    often = {i: c for i, c in Counter(found or []).items() if c > 2}
+    cuts = set(found or []) | {i + 1 for i in often if i < (1 << 63) - 1}
+    if n > known:
+        often[None] = max(1, parts * (n - known) // n)
+    return sorted(cuts, reverse=True), often
+
+
+def _part(cuts: list[int], often: dict[int | None, int]):
+    """The part of a row (doc_id, text), a long: parts are in the order of the rows. Ids that fill several parts are dealt among them by the range of the text's hash."""
+    step = max(1, int(len(cuts) ** 0.5))
+    over = lambda x: x > F.col("doc_id")
+    literal = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    # How many cuts are over the id: first by every step-th of them, then within that step.
+    steps = F.size(F.filter(literal(cuts[::step]), over))
+    place = F.when(steps == 0, 0).otherwise((steps - 1) * step + F.size(F.filter(F.slice(literal(cuts), (steps - 1) * step + 1, F.lit(step)), over)))
+    place = F.coalesce(F.when(F.col("doc_id").isNotNull(), place), F.lit(len(cuts) + 1)).cast("long")
+    share = F.xxhash64("text").cast("double") / F.lit(2.0**64) + 0.5
+    sub = F.lit(0)
+    for i, k in often.items():
+        sub = F.when(F.col("doc_id").eqNullSafe(F.lit(i).cast("long")), F.least(F.lit(k - 1), F.floor(share * k))).otherwise(sub)
+    return place * F.lit(1 << 31) + sub
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -167,31 +181,32 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document in descending doc_id; after the last comes the first. near_* is the share of equal sketches.
 
-    Documents are sorted by range, so a task meets each document's successor right after it; texts are shuffled once.
-    Only the last document of each part needs the first of another part: those two texts a part are joined by the part's
-    number. Which part follows which is known from the list of parts that aren't empty, one number a part.
+    Documents are dealt to parts by ranges of their ids, so a task meets each document's successor right after it. Only
+    the last document of a part needs the first of another; those firsts, one a part, are looked up before and go to both
+    parts. So texts are shuffled once and nothing else is written. The list of parts and their first ids is collected.
 
     Null texts are empty. Null ids come last. Rows with the same id are ordered by the hash of their text, so equal rows
     can't be told apart and the result is defined. A table of one row follows itself; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ranged = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
-    walked = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_walk, f"{_SCHEMA}, part int, edge string, text binary")
-    walked = cut(walked, "walked")
-    parts = sorted(r[0] for r in walked.where("edge = 'first'").select("part").collect())
-    done = walked.where("edge is null").select(*_NAMES)
-    if parts:
-        follows = F.create_map(*[F.lit(x) for pair in zip(parts, parts[1:] + parts[:1]) for x in pair]) if len(parts) < 2000 else None
-        last = walked.where("edge = 'last'")
-        if follows is not None:
-            last = last.withColumn("then", follows[F.col("part")])
-        else:
-            last = last.join(spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, then int"), "part")
-        first = walked.where("edge = 'first'").select(F.col("part").alias("then"), F.col("text").alias("head"), F.col("fingerprint").alias("following"))
-        ends = last.join(first, "then").select("doc_id", "text", F.col("fingerprint").alias("own"), "head", "following")
-        done = done.unionByName(ends.mapInArrow(_finish, _SCHEMA))
+    cuts, often = bounds(rows.select("doc_id"), partitions(spark))
+    rows = rows.withColumn("part", _part(cuts, often))
+    several = F.col("doc_id").isNull() | F.col("doc_id").isin([i for i in often if i is not None]) if often else F.lit(False)
+    firsts = rows.groupBy("part").agg(F.max("doc_id").alias("id"), F.min(F.when(several, F.xxhash64("text"))).alias("hash")).orderBy("part").collect()
+    if not firsts:
+        return _named(rows.select("doc_id", "text").mapInArrow(lambda _: iter(()), _SCHEMA))
+    order = [r.part for r in firsts]
+    number = spark.createDataFrame([(p, i, r.id, r.hash, (i - 1) % len(order)) for i, (p, r) in enumerate(zip(order, firsts))], "part long, at int, id long, hash long, before int")
+    numbered = rows.join(F.broadcast(number), "part")
+    heads = numbered.where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash").isNull() | (F.xxhash64("text") == F.col("hash"))))
+    heads = heads.groupBy("before").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "doc_id")).alias("x"))
+    both = numbered.select("at", F.lit(False).alias("closes"), "doc_id", "text").unionByName(heads.select(F.col("before").alias("at"), F.lit(True).alias("closes"), "x.doc_id", "x.text"))
+    ranged = both.repartitionById(len(order), F.col("at")).sortWithinPartitions("at", "closes", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    return _named(ranged.select("closes", "doc_id", "text").mapInArrow(_walk, _SCHEMA))
+
+
+def _named(done: DataFrame) -> DataFrame:
     hex_ = lambda c: F.lower(F.hex(c))
     return done.select("doc_id", "n_chars", hex_("edited").alias("edited_sha256"), hex_("fingerprint").alias("fingerprint"), hex_("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
 

@@ -461,6 +461,18 @@ def test_order_minhash_against_plain_integers(spark):
         assert (r.near_edited, r.near_next) == (like(own, changed), like(own, following)), t
 
 
+def test_order_minhash_writes_no_table(spark, docs, tmp_path, monkeypatch):
+    """Parts in any number, of ids that repeat and of nulls, give the same rows, and nothing but the shuffle of texts is written."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    many = docs.select("doc_id", "text").unionByName(spark.range(60).select(F.lit(6).alias("doc_id"), F.concat(F.lit("same id "), "id").alias("text")))
+    many = many.unionByName(spark.range(60).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("no id "), "id").alias("text")))
+    found = []
+    for parts in (1, 9):
+        monkeypatch.setattr(ordermin, "partitions", lambda _, n=parts: n)
+        found.append(sorted(map(str, ordermin.fingerprint_documents(many).collect())))
+    assert found[0] == found[1] and len(found[0]) == many.count() and not list(tmp_path.iterdir())
+
+
 def test_order_minhash_sees_half_edited_texts():
     r = random.Random(3)
     vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(2000)]
