@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.entities import DEFAULT_LIMIT, MAX_LIMIT, decode_offset, encode_offset, entity_type, glob, key_order, request_error
 from ..plans.compile import Checker, Subjects, verdict
 from ..plans.policy import Exclusion, Intersection, Module, Policy, Ref, This, Tuples, Union, Via
-from ..sources.shared import cut
+from ..sources.shared import cut, held
 from ..sources.store import matching
 
 
@@ -53,7 +53,8 @@ def list_resources(policy: Policy, edges: DataFrame, subject: str, resource_type
 
 
 def list_relationships(edges: DataFrame, resource: str | None = None, relation: str | None = None, subject: str | None = None) -> DataFrame:
-    return matching(edges, resource=resource, relation=relation, subject=subject).select("resource", "relation", "subject").orderBy(key_order())
+    """(resource, relation, subject), sorted by key; tuples whose keys are spelled alike by their columns, so every call gives one order."""
+    return matching(edges, resource=resource, relation=relation, subject=subject).select("resource", "relation", "subject").orderBy(key_order(), "resource", "relation")
 
 
 def list_subjects(policy: Policy, edges: DataFrame, resource: str, relation: str, subject_type: str | None = None) -> DataFrame:
@@ -145,15 +146,24 @@ def trace(policy: Policy, edges: DataFrame, requests: DataFrame, **how) -> DataF
 
 
 def page(rows: DataFrame, limit: int | None = None, cursor: str | None = None, default: int | None = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> Page:
-    """A page of sorted rows. The cursor counts rows; there is one only if more rows remain. The rows are made once."""
+    """A page of sorted rows. The cursor counts rows; there is one only if more rows remain. The rows are made once.
+
+    Rows on their way to one task come in any order, so a limit over sorted parts takes those of whichever part comes first.
+    The sorted rows are written with their part and their place in it instead, and the page is looked up by these; at any
+    depth no task sorts more than a page.
+    """
     start = decode_offset(cursor)
     n = min(limit or default or most, most)
-    rows = rows.persist()
-    try:
-        total = rows.count()
-        got = cut(rows.offset(start).limit(n), "page")
-    finally:
-        rows.unpersist()
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    with held(rows.select(F.struct("*").alias("row"), F.spark_partition_id().alias("part"), place.alias("at")), "sorted") as placed:
+        total, starts = 0, []
+        for part, size in sorted((r[0], r[1]) for r in placed.groupBy("part").count().collect()):
+            starts.append((part, total))
+            total += size
+        first, before = max((x for x in starts if x[1] <= start), default=(0, 0))
+        last = max((part for part, at in starts if at < start + n), default=0)
+        own = F.col("part").between(first, last) & ((F.col("part") > first) | (F.col("at") >= start - before))
+        got = cut(placed.where(own).orderBy("part", "at").limit(n).select("row.*"), "page")
     return Page(got, encode_offset(start + n) if total > start + n else None, total)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,15 @@ def cut(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/edgewise/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As cut(), but the folder goes at the end, so nothing that is read later may come from it."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/edgewise/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
