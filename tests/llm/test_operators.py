@@ -208,6 +208,16 @@ def test_cut_leaves_no_shuffle_files(spark):
     assert spark.conf.get(common.CLEANUP, None) is None
 
 
+def test_cut_itself_leaves_no_shuffle_files(spark):
+    """Read before anything is asked of the table: a count of it has a shuffle of its own, whose files stay until the driver collects garbage."""
+    before = shuffle_files(spark)
+    common.cut(spark.range(1000).groupBy(F.pmod("id", F.lit(7))).count(), "test")
+    until = time.time() + 10  # Spark removes them in the background
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+
+
 def test_components_of_few_edges_are_few_files(spark, tmp_path, monkeypatch):
     """Before, each of a round's four tables had a file for each of the shuffle partitions."""
     monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
